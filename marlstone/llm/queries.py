@@ -5,9 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, minhash
-from .common import table
+from . import exact_dedup, langid, minhash, secrets
+from .common import id_bucket, table
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_bucket(F.col("doc_id"), 4) == 2
+    model = langid.learn(docs, ~held_out)
+    found = langid.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model, keep=["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest_columns(secrets.find_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"]))
 
 
 def op9_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

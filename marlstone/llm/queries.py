@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, minhash, secrets
+from . import exact_dedup, langid, minhash, quality, secrets
 from .common import id_bucket, table
 
 
@@ -23,6 +23,14 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_columns(secrets.find_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"]))
 
 
+def op6_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_bucket(F.col("doc_id"), 3) == 1
+    machine = quality.learn(docs, table(spark, sf_dir, "labels"), ~held_out)
+    found = quality.score(docs.select("doc_id", held_out.alias("held_out"), "text", "n_chars"), machine, keep=["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(table(spark, sf_dir, "documents"), words=3, num=85, den=100)
 

@@ -2,11 +2,11 @@
 
 1. One pass over the texts makes, per document, the hash of its shingle set, a signature and its band keys. Documents with the same
    set are one class from here on.
-2. In each bucket (band key) every class is a candidate of the bucket's smallest class only: as many candidates as rows.
-3. Candidates are confirmed on the full sets of both texts.
-4. Components of the links so far. Buckets that still hold several components go through an exact remainder: their classes
-   are dealt into blocks, pairs of blocks are compared by signature inside tasks, and what may reach the threshold
-   is confirmed on full sets too. So no link is lost to the choice of a bucket's centre.
+2. In each bucket (band key) every class is a candidate of one centre only, the class with the most company in its buckets: as many candidates
+   as rows. They are confirmed on the full sets of both texts.
+3. Components of the links so far. Buckets that still hold several components go through an exact remainder: their classes
+   are dealt into blocks, and each pair of blocks is compared inside a task on signatures, then on full sets. A task returns a spanning
+   forest of the links it finds, never more rows than it has classes. So no link between components is lost to the choice of a centre.
 
 With 32 bands of 4 coordinates a pair at similarity s meets in no band with probability (1 - s**4)**32: 6e-11 at 0.85, 5e-8 at 0.8.
 """
@@ -26,8 +26,8 @@ from .graph import components
 
 COORDINATES = 128
 ROWS = 4
-#: Classes of a block of the remainder.
-BLOCK = 512
+#: Classes, and shingles, of a block of the remainder, about.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 19
 #: Hubs with many members are spread over this many tasks.
 SALTS = 32
 #: Standard deviations that a signature's estimate may lie below the threshold before a pair of the remainder is given up.
@@ -44,12 +44,13 @@ def _profile(n: int):
                 sig = sh.signatures([sets[i] for i in full], COORDINATES) if full else np.empty((0, COORDINATES), np.uint32)
                 keys = sh.bands(sig, ROWS)
                 low = (sig & np.uint32(255)).astype(np.uint8)
-                cls, band, tiny = ([None] * len(sets) for _ in range(3))
+                cls, band, tiny, short = ([None] * len(sets) for _ in range(4))
                 for row, i in enumerate(full):
                     cls[i], band[i], tiny[i] = set_hash(sets[i]), keys[row], low[row].tobytes()
+                    short[i] = keys[row].astype(np.uint32).tobytes()
                 yield pa.record_batch(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64()), pa.array(band, pa.list_(pa.int64())), pa.array(tiny, pa.binary())],
-                    ["doc_id", "n_shingles", "cls", "bands", "low"],
+                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64()), pa.array(band, pa.list_(pa.int64())), pa.array(tiny, pa.binary()), pa.array(short, pa.binary())],
+                    ["doc_id", "n_shingles", "cls", "bands", "low", "keys"],
                 )
 
     return run
@@ -96,54 +97,98 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -
     return with_text.repartition("a", "salt").sortWithinPartitions("a", "salt", "member").mapInArrow(_confirm(n, num, den), "a long, b long")
 
 
-def _remainder(num: int, den: int):
-    """Rows sorted by (key, i, j): the classes of two blocks of a bucket. Gives pairs of different components that may be links."""
+def _sets(n: int):
+    """(cls, id, text) -> (cls, set): the sorted hashes as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                part = batch.slice(at, 500)
+                own = [np.unique(x) for x in sh.shingles(part.column(1).to_pylist(), n)]
+                cls = part.column(0).to_pylist()
+                keep = [i for i, s in enumerate(own) if set_hash(s) == cls[i]]
+                yield pa.record_batch([pa.array([cls[i] for i in keep], pa.int64()), pa.array([own[i].tobytes() for i in keep], pa.binary())], ["cls", "set"])
+
+    return run
+
+
+def _forest(g: dict[str, np.ndarray], low: np.ndarray, keys: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """Links between different components of two blocks of a bucket that join anything not joined yet."""
     least = num / den
     cut = COORDINATES * least - SLACK * np.sqrt(COORDINATES * least * (1 - least))
+    band, blk, n = int(g["band"][0]), g["blk"], g["n"]
+    left = np.flatnonzero(blk == g["i"][0])
+    right = left if g["i"][0] == g["j"][0] else np.flatnonzero(blk == g["j"][0])
+    if not len(left) or not len(right):
+        return []
+    root = {int(c): int(c) for c in g["comp"]}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.cumsum([len(s) for s in sets])
+    code = [codes[e - len(s) : e] for e, s in zip(ends, sets, strict=True)]
+    mark = np.zeros(int(codes.max()) + 1, bool)
+    out = []
+    for at, x in enumerate(left):
+        y = right[at + 1 :] if left is right else right
+        y = y[(den * np.minimum(n[y], n[x]) >= num * np.maximum(n[y], n[x])) & (g["comp"][y] != g["comp"][x])]
+        y = y[(low[y] == low[x]).sum(1) >= cut]
+        if band and len(y):  # a pair belongs to the first band in which it meets
+            y = y[~(keys[y, :band] == keys[x, :band]).any(1)]
+        y = y[[find(int(c)) != find(int(g["comp"][x])) for c in g["comp"][y]]] if len(y) else y
+        if not len(y):
+            continue
+        mark[code[x]] = True
+        inter = np.add.reduceat(mark[np.concatenate([code[k] for k in y])], np.cumsum([0, *[len(code[k]) for k in y[:-1]]]), dtype=np.int64)
+        mark[code[x]] = False
+        for k in y[den * inter >= num * (n[x] + n[y] - inter)]:
+            a, b = find(int(g["comp"][x])), find(int(g["comp"][k]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((int(g["cls"][x]), int(g["cls"][k])))
+    return out
+
 
-    def pairs_of(g: dict[str, np.ndarray]) -> list[np.ndarray]:
-        i, j, blk = g["i"][0], g["j"][0], g["blk"]
-        left = np.flatnonzero(blk == i)
-        right = left if i == j else np.flatnonzero(blk == j)
-        agree = np.zeros((len(left), len(right)), np.int16)
-        low = g["low"]
-        for c in range(COORDINATES):
-            agree += low[left, c][:, None] == low[right, c]
-        n, comp = g["n"], g["comp"]
-        size = n[left][:, None], n[right][None]
-        ok = (agree >= cut) & (comp[left][:, None] != comp[right]) & (den * np.minimum(*size) >= num * np.maximum(*size))
-        if i == j:
-            ok = np.triu(ok, 1)
-        x, y = np.nonzero(ok)
-        return [g[k][s] for k, s in (("cls", left[x]), ("id", left[x]), ("cls", right[y]), ("id", right[y]))]
+def _remainder(num: int, den: int):
+    """Rows sorted by (key, i, j): the classes of two blocks of a bucket. Gives the links of their forest."""
+    bands = COORDINATES // ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def groups(last: bool) -> Iterator[pa.RecordBatch]:
+        def solved(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held
             if not held:
                 return
             t = pa.Table.from_batches(held)
             held = []
-            col = {k: t.column(k).to_numpy() for k in ("key", "i", "j", "cls", "id", "n", "comp", "blk")}
+            col = {k: t.column(k).to_numpy() for k in ("key", "i", "j", "cls", "n", "comp", "blk", "band")}
             cuts = np.flatnonzero((np.diff(col["key"]) != 0) | (np.diff(col["i"]) != 0) | (np.diff(col["j"]) != 0)) + 1
             edges = [0, *cuts.tolist(), len(t)]
-            end = len(t) if last else edges[-2]
-            if end < len(t):
-                held = t.slice(end).combine_chunks().to_batches()
-            if not end:
-                return
-            col["low"] = np.frombuffer(b"".join(t.column("low").slice(0, end).to_pylist()), np.uint8).reshape(end, COORDINATES)
-            found = [pairs_of({k: v[p:q] for k, v in col.items()}) for p, q in zip(edges, edges[1:], strict=False) if q <= end]
+            if not last:
+                held = t.slice(edges[-2]).combine_chunks().to_batches()
+                edges.pop()
+            found = []
+            for p, q in zip(edges, edges[1:], strict=False):
+                own = t.slice(p, q - p)
+                low = np.frombuffer(b"".join(own.column("low").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+                keys = np.frombuffer(b"".join(own.column("keys").to_pylist()), np.uint32).reshape(-1, bands)
+                sets = [np.frombuffer(x, np.uint64) for x in own.column("set").to_pylist()]
+                found += _forest({k: v[p:q] for k, v in col.items()}, low, keys, sets, num, den)
             if found:
-                yield pa.record_batch([pa.array(np.concatenate([f[k] for f in found]), pa.int64()) for k in range(4)], ["a", "a_id", "b", "b_id"])
+                yield pa.record_batch([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            held.append(batch)
-            if sum(map(len, held)) >= 4 * BLOCK:
-                yield from groups(False)
-        yield from groups(True)
+            for at in range(0, len(batch), 1000):
+                held.append(batch.slice(at, 1000))
+                if sum(map(len, held)) >= 4 * BLOCK:
+                    yield from solved(False)
+        yield from solved(True)
 
     return run
 
@@ -158,15 +203,18 @@ def near_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100,
     are read. Extra columns are ignored whatever their names; an empty table gives no rows. Sets are compared by 64-bit hashes of shingles.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = stage(texts.mapInArrow(_profile(words), "doc_id long, n_shingles long, cls long, bands array<long>, low binary"), "profiles")
+    rows = stage(texts.mapInArrow(_profile(words), "doc_id long, n_shingles long, cls long, bands array<long>, low binary, keys binary"), "profiles")
     classes = stage(
-        rows.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("low").alias("low")),
+        rows.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("low").alias("low"), F.first("keys").alias("keys")),
         "classes",
     )
-    buckets = classes.select("cls", "id", "n", F.explode("bands").alias("key"))
-    hubs = stage(buckets.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("cls", "id", "n")).alias("hub")).where("size > 1"), "hubs")
+    buckets = classes.select("cls", "id", "n", F.posexplode("bands").alias("band", "key"))
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = stage(buckets.join(sizes, "key"), "members")
+    company = members.groupBy("cls").agg(F.sum("size").alias("company"))
+    centres = members.join(company, "cls").groupBy("key").agg(F.max(F.struct("company", "cls", "id", "n")).alias("hub"))
     stars = (
-        buckets.join(hubs, "key")
+        members.join(centres, "key")
         .where("cls != hub.cls").where(den * F.least("n", "hub.n") >= num * F.greatest("n", "hub.n"))
         .select(F.col("hub.cls").alias("a"), F.col("hub.id").alias("a_id"), F.col("cls").alias("b"), F.col("id").alias("b_id"))
         .distinct()
@@ -175,17 +223,16 @@ def near_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100,
     links = stage(_confirmed(stars, texts, words, num, den), "links")
     part = components(links)
 
-    labelled = classes.join(part, F.col("cls") == F.col("node"), "left").select("cls", "id", "n", "low", F.coalesce("component", "cls").alias("comp"), "bands")
-    members = labelled.select("cls", "comp", F.explode("bands").alias("key")).join(hubs.where("size > 2").select("key"), "key", "left_semi")
-    mixed = members.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("low_comp"), F.max("comp").alias("high_comp")).where("low_comp != high_comp")
-    mixed = mixed.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    dealt = labelled.select("cls", "id", "n", "low", "comp", F.explode("bands").alias("key")).join(mixed, "key").withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    tasks = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "cls", "id", "n", "comp", "blk", "low")
-    found = tasks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_remainder(num, den), "a long, a_id long, b long, b_id long")
-    rest = stage(found.select(F.least("a", "b").alias("a"), F.when(F.col("a") <= F.col("b"), F.col("a_id")).otherwise(F.col("b_id")).alias("a_id"), F.greatest("a", "b").alias("b"), F.when(F.col("a") <= F.col("b"), F.col("b_id")).otherwise(F.col("a_id")).alias("b_id")).distinct(), "remainder")
+    labelled = members.where("size > 2").join(part, F.col("cls") == F.col("node"), "left").select("key", "band", "cls", "id", "n", F.coalesce("component", "cls").alias("comp"))
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    mixed = labelled.groupBy("key").agg(blocks.alias("blocks"), F.min("comp").alias("low_comp"), F.max("comp").alias("high_comp")).where("low_comp != high_comp").select("key", "blocks")
+    dealt = stage(labelled.join(mixed, "key").withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")), "dealt")
+    sets = dealt.select("cls", "id").distinct().join(texts, "id").select("cls", "text").mapInArrow(_sets(words), "cls long, set binary")
+    full = dealt.join(classes.select("cls", "low", "keys"), "cls").join(sets, "cls").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tasks = full.select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "band", "cls", "n", "comp", "blk", "low", "keys", "set")
+    rest = stage(tasks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_remainder(num, den), "a long, b long"), "remainder")
     if not rest.isEmpty():
-        more = stage(_confirmed(rest, texts, words, num, den), "more-links")
-        part = components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+        part = components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).union(rest))
     named = classes.join(part, F.col("cls") == F.col("node"), "left").select("cls", "id", F.coalesce("component", "cls").alias("comp"))
     smallest = named.groupBy("comp").agg(F.min("id").alias("component"))
     verdicts = named.join(smallest, "comp").select("cls", "component")
@@ -193,7 +240,7 @@ def near_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100,
         rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("cls")).alias("cls")).join(verdicts, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")),
         "near-groups",
     )
-    discard(rows, classes, hubs, links, rest)
+    discard(rows, classes, members, links, dealt, rest)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, minhash, mixing, packing, quality, secrets, warc
+from . import chat, embed_dedup, exact_dedup, langid, minhash, mixing, packing, quality, secrets, warc
 from .common import id_bucket, table
 
 
@@ -19,6 +19,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op2_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.written_masks(chat.rotate(table(spark, sf_dir, "conversations")))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,10 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(table(spark, sf_dir, "documents"), words=3, num=85, den=100)
 
@@ -56,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc_round_trip": warc.ORACLE_SQL, "op7_source_mixing": mixing.oracle_sql(), "op9_minhash_near_dup": minhash.ORACLE_SQL, "op10_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op2_chat_rotation": chat.ORACLE_SQL, "op5_warc_round_trip": warc.ORACLE_SQL, "op7_source_mixing": mixing.oracle_sql(), "op8_embedding_near_dup": embed_dedup.ORACLE_SQL, "op9_minhash_near_dup": minhash.ORACLE_SQL, "op10_exact_dedup": exact_dedup.ORACLE_SQL}

@@ -54,7 +54,7 @@ def share(nodes: DataFrame, parent: list[str]) -> DataFrame:
     level = (F.col("parent_budget") - before) / heavy
     full = F.col("supply") <= F.col("weight") * level
     out = nodes.withColumn("level", level).withColumn("full", full)
-    cut = F.min(F.when(~F.col("full"), F.col("level"))).over(Window.partitionBy(*parent))
+    cut = F.max(F.when(~F.col("full"), F.col("level"))).over(Window.partitionBy(*parent))
     return out.withColumn("budget", F.when(F.col("full"), F.col("supply")).otherwise(F.greatest(F.lit(0.0), F.col("weight") * cut))).drop("level", "full")
 
 
@@ -126,7 +126,7 @@ def select_documents(docs: DataFrame, share_of_all: float, seed: int = SEED) ->
 
 
 def _sql_share(source: str, parent: str, order: str) -> str:
-    return f"""SELECT *, CASE WHEN full_ THEN supply ELSE greatest(0.0, weight * min(CASE WHEN NOT full_ THEN level END) OVER (PARTITION BY {parent})) END AS budget FROM (
+    return f"""SELECT *, CASE WHEN full_ THEN supply ELSE greatest(0.0, weight * max(CASE WHEN NOT full_ THEN level END) OVER (PARTITION BY {parent})) END AS budget FROM (
   SELECT *, supply <= weight * level AS full_ FROM (SELECT *, (parent_budget - (sum(supply) OVER o - supply)) / (sum(weight) OVER (PARTITION BY {parent}) - sum(weight) OVER o + weight) AS level
     FROM {source} WINDOW o AS (PARTITION BY {parent} ORDER BY supply / weight, supply, {order})))"""
 

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Runs of letters; the check in :func:`tokens` drops the few non-letters that this class also takes.
@@ -50,63 +50,101 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class Model:
-    """Log frequencies: ``words`` and ``grams`` map to rows of ``table`` (one column a language)."""
+    """Centred log frequencies: ``words`` and ``grams`` (by size) map to rows of ``table``, one column a language. Row 0 is all zeros."""
 
     def __init__(self, counts: pd.DataFrame, langs: list[str]):
         self.langs = langs
         at = {x: i for i, x in enumerate(langs)}
-        words: dict[str, np.ndarray] = {}
-        gram: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
-        zero = lambda: np.zeros(len(langs))
-        for lang, word, n in counts.itertuples(index=False):
-            words.setdefault(word, zero())[at[lang]] += n
-            for size in range(1, LONGEST + 1):
-                for g in grams(word, size):
-                    gram[size].setdefault(g, zero())[at[lang]] += n
-        self.words = self._logs(words)
-        self.grams = [{}]
-        for size in range(1, LONGEST + 1):
-            frequent = sorted(gram[size].items(), key=lambda x: (-x[1].sum(), x[0]))[: GRAMS // LONGEST]
-            self.grams.append(self._logs(dict(frequent)))
-
-    def _logs(self, counts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        if not counts:
-            return {}
-        table = np.array(list(counts.values()))
-        logs = np.log((table + 0.1) / (table.sum(0) + 0.1 * len(table)))
-        return dict(zip(counts, (logs - logs.mean(1, keepdims=True)).astype(np.float32), strict=True))
-
-    def vector(self, word: str) -> np.ndarray:
-        """Centred log scores of a word by language; zeros if not even a single character is known."""
-        if (v := self.words.get(word)) is not None:
-            return v
+        keys: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]  # words are of size 0 here
+        rows, cols, n = ([[] for _ in keys] for _ in range(3))
+        for lang, word, k in counts.itertuples(index=False):
+            col = at[lang]
+            for size, own in enumerate(keys):
+                for g in grams(word, size) if size else (word,):
+                    rows[size].append(own.setdefault(g, len(own)))
+                    cols[size].append(col)
+                    n[size].append(k)
+        tables, first, kept = [np.zeros((1, len(langs)), np.float32)], 1, []
+        for size, own in enumerate(keys):
+            table = np.zeros((len(own), len(langs)))
+            np.add.at(table, (rows[size], cols[size]), n[size])
+            most = len(own) if not size else GRAMS // LONGEST
+            names = list(own)
+            order = sorted(range(len(own)), key=lambda i, t=table.sum(1), w=names: (-t[i], w[i]))[:most]
+            table = table[order]
+            logs = np.log((table + 0.1) / (table.sum(0) + 0.1 * max(1, len(table))))
+            tables.append((logs - logs.mean(1, keepdims=True)).astype(np.float32) if len(langs) else logs.astype(np.float32))
+            kept.append({names[i]: first + k for k, i in enumerate(order)})
+            first += len(order)
+        self.words, self.grams, self.table = kept[0], kept, np.concatenate(tables)
+
+    def backoff(self, word: str) -> list[int]:
+        """Rows of the longest n-grams of which any is known; row 0 if not even a single character is."""
         for size in range(min(LONGEST, len(word) + 2), 0, -1):
-            known = [v for g in grams(word[:60], size) if (v := self.grams[size].get(g)) is not None]
-            if known:
-                return np.mean(known, 0)
-        return np.zeros(len(self.langs), np.float32)
-
-    def predict(self, text: str | None, cache: dict) -> tuple[str, float]:
-        if not text or not self.langs:
-            return "und", 0.0
-        found = Counter(tokens(text))
-        total, n = np.zeros(len(self.langs)), 0
-        for word, k in found.items():
-            v = cache.get(word)
-            if v is None:
-                v = self.vector(word) if any(map(str.isalpha, word)) else False
-                if len(cache) > 300_000:
-                    cache.clear()
-                cache[word] = v
-            if v is not False:
-                total += k * v
-                n += k
-        if not n:
-            return "und", 0.0
-        total *= min(1.0, EVIDENCE / n)
-        p = np.exp(total - total.max())
-        best = int(p.argmax())
-        return self.langs[best], float(p[best] / p.sum())
+            known = self.grams[size]
+            if found := [known[g] for g in grams(word[:60], size) if g in known]:
+                return found
+        return [0]
+
+
+class Predictor:
+    """Scores texts; vectors of words that the model doesn't know are kept until there are CACHED of them."""
+
+    CACHED = 500_000
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.forget()
+
+    def forget(self) -> None:
+        self.index, self.table, self.used = dict(self.model.words), self.model.table, len(self.model.table)
+
+    def _add(self, words: list[str]) -> None:
+        known = [w for w in words if any(map(str.isalpha, w))]
+        self.index.update((w, -1) for w in words)
+        if not known:
+            return
+        rows = [self.model.backoff(w) for w in known]
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        flat = np.fromiter((r for own in rows for r in own), np.int64, int(sizes.sum()))
+        new = np.add.reduceat(self.model.table[flat], np.concatenate(([0], np.cumsum(sizes)[:-1]))) / sizes[:, None]
+        if self.used + len(new) > len(self.table):
+            grown = np.empty((2 * len(self.table) + len(new), new.shape[1]), np.float32)
+            grown[: self.used] = self.table[: self.used]
+            self.table = grown
+        elif self.table is self.model.table:
+            self.table = self.table.copy()
+        self.table[self.used : self.used + len(new)] = new
+        self.index.update(zip(known, range(self.used, self.used + len(new)), strict=True))
+        self.used += len(new)
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        langs, scores = [], []
+        for at in range(0, len(texts), 200):
+            found = [Counter(tokens(t)) if t and self.model.langs else None for t in texts[at : at + 200]]
+            new: set[str] = set()
+            for f in found:
+                if f:
+                    new.update(f)
+            words = list(new)
+            if len(self.index) > len(self.model.words) + self.CACHED:
+                self.forget()
+            self._add([w for w in words if w not in self.index])
+            for f in found:
+                lang, score = "und", 0.0
+                if f:
+                    rows = np.fromiter(map(self.index.__getitem__, f), np.int64, len(f))
+                    k = np.fromiter(f.values(), np.float32, len(f))
+                    if rows.min() < 0:
+                        rows, k = rows[rows >= 0], k[rows >= 0]
+                    if n := float(k.sum()):
+                        total = (k @ self.table[rows]).astype(np.float64) * min(1.0, EVIDENCE / n)
+                        p = np.exp(total - total.max())
+                        best = int(p.argmax())
+                        lang, score = self.model.langs[best], float(p[best] / p.sum())
+                langs.append(lang)
+                scores.append(score)
+        return langs, scores
 
 
 def learn(docs: DataFrame, where: Column, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> Model:
@@ -123,8 +161,6 @@ def learn(docs: DataFrame, where: Column, lang_col: str = "lang", text_col: str
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(scale, scale * ROWS_PER_LANGUAGE // n))])
     picked = rows.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(scale)) < share[F.col("lang")])
     counts = picked.select("lang", "text").mapInPandas(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     kept = counts.withColumn("r", rank).where(f"r <= {WORDS_PER_LANGUAGE}").drop("r").toPandas()
     return Model(kept.sort_values(["lang", "word"]), sorted(set(kept["lang"])))
@@ -132,10 +168,10 @@ def learn(docs: DataFrame, where: Column, lang_col: str = "lang", text_col: str
 
 def _predict(shipped):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, cache = shipped.value, {}
+        own = Predictor(shipped.value)
         for batch in batches:
-            got = [model.predict(t, cache) for t in batch.pop("__text")]
-            yield batch.assign(lang_pred=[x[0] for x in got], score=[x[1] for x in got])
+            langs, scores = own.predict(batch.pop("__text").tolist())
+            yield batch.assign(lang_pred=langs, score=scores)
 
     return run
 

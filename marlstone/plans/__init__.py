@@ -1 +1,19 @@
-"""Plans of the engine."""
+"""Registered plans over the driver's tables, each with the SQL that must give the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import relational
+
+_MODULES = (relational,)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: f for m in _MODULES for k, f in m.queries().items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: s for m in _MODULES for k, s in m.oracle_sql().items()}

@@ -8,6 +8,7 @@ n-grams (5 to 1 characters, with word borders) of which any is known. A text's s
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -55,19 +56,19 @@ class Model:
     def __init__(self, counts: pd.DataFrame, langs: list[str]):
         self.langs = langs
         at = {x: i for i, x in enumerate(langs)}
-        keys: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]  # words are of size 0 here
-        rows, cols, n = ([[] for _ in keys] for _ in range(3))
-        for lang, word, k in counts.itertuples(index=False):
-            col = at[lang]
-            for size, own in enumerate(keys):
-                for g in grams(word, size) if size else (word,):
-                    rows[size].append(own.setdefault(g, len(own)))
-                    cols[size].append(col)
-                    n[size].append(k)
+        words, cols, times = (counts[c].tolist() for c in ("word", "lang", "n"))
+        cols = [at[x] for x in cols]
         tables, first, kept = [np.zeros((1, len(langs)), np.float32)], 1, []
-        for size, own in enumerate(keys):
+        for size in range(LONGEST + 1):  # words themselves are of size 0 here; one size is held at a time
+            own: dict[str, int] = {}
+            rows, widths = array("q"), array("q")
+            for word in words:
+                found = grams(word, size) if size else (word,)
+                rows.extend(own.setdefault(g, len(own)) for g in found)
+                widths.append(len(found))
+            col, n = np.repeat(np.array(cols, np.int64), widths), np.repeat(np.array(times, np.float64), widths)
             table = np.zeros((len(own), len(langs)))
-            np.add.at(table, (rows[size], cols[size]), n[size])
+            np.add.at(table, (np.frombuffer(rows, np.int64), col), n)
             most = len(own) if not size else GRAMS // LONGEST
             names = list(own)
             order = sorted(range(len(own)), key=lambda i, t=table.sum(1), w=names: (-t[i], w[i]))[:most]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,6 +55,11 @@ def discard(*frames: DataFrame) -> None:
             fs.delete(path, True)
 
 
+def worker_cache() -> dict:
+    """What lives as long as a Python worker: functions that are shipped by value have no module of their own to keep things in."""
+    return vars(sys.modules.setdefault("_marlstone_kept", types.ModuleType("_marlstone_kept")))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, worker_cache
 
 SEQUENCE = 2048
 #: Closes every document.
@@ -26,7 +26,8 @@ END_ID = 0
 PATTERNS, ROUNDS = 24_000, 400
 #: Rows of a salt of a length, about.
 SALT_ROWS = 1 << 19
-_CACHED, _CACHED_CHARS = 700_000, 64
+#: Parts whose ids a worker keeps, and the characters of the longest one.
+_CACHED, _CACHED_CHARS = 1_200_000, 64
 
 
 def default_tokenizer() -> str:
@@ -55,62 +56,54 @@ class Encoder:
         self.encode = tokenizer.encode_batch_fast
         self.final = np.zeros(max(tokenizer.get_vocab().values()) + 1, bool)
         self.final[[i for w, i in tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {"": b""}
-        self.marks: dict[str, bytes] = {"": b""}
         self.known: dict[str, bytes] = {"": b""}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.encode(texts, add_special_tokens=False)]
 
-    def _learn(self, new: set[str]) -> dict[str, bytes]:
-        """The ids of ``new`` parts."""
-        split, other = [], []
-        for w in new:
-            core = w.rstrip(MARKS)
-            if core.isalpha() and max(core) < "\u0100":
-                split.append((w, core.lower(), w[len(core) :]))
-            else:
-                other.append(w)
-        words = list({c for _, c, _ in split}.difference(self.words))
+    def _learn(self, new: list[str]) -> None:
+        """Add the ids of ``new`` parts, which hold no blanks, to those that are known."""
+        known = self.known
+        cores = [w.rstrip(MARKS) for w in new]
+        lows = "\n".join(cores).lower().split("\n")
+        plain = [c.isalpha() and (c.isascii() or max(c) < "\u0100") for c in cores]
+        words = list({x for x, p in zip(lows, plain, strict=True) if p}.difference(known))
         for at in range(0, len(words), 2000):
             own = words[at : at + 2000]
             ids = np.array(self.encode([" ".join(own)], add_special_tokens=False)[0].ids, "<u4")
             ends = (4 * (np.flatnonzero(self.final[ids]) + 1)).tolist()
             if len(ends) != len(own):  # a tokenizer of another make
-                self.words.update(zip(own, self._ids(own), strict=True))
+                known.update(zip(own, self._ids(own), strict=True))
                 continue
             raw = ids.tobytes()
-            self.words.update((w, raw[a:b]) for w, a, b in zip(own, [0, *ends], ends, strict=False))
-        marks = list({m for _, _, m in split}.difference(self.marks))
-        self.marks.update(zip(marks, self._ids(marks), strict=True))
-        out = {w: self.words[c] + self.marks[m] for w, c, m in split}
-        out.update(zip(other, self._ids(other), strict=True))
-        return out
+            known.update((w, raw[a:b]) for w, a, b in zip(own, [0, *ends], ends, strict=False))
+        other = [w for w, p in zip(new, plain, strict=True) if not p]
+        other += list({w[len(c) :] for w, c, p in zip(new, cores, plain, strict=True) if p}.difference(known, other))
+        known.update(zip(other, self._ids(other), strict=True))
+        for w, c, x, p in zip(new, cores, lows, plain, strict=True):
+            if p and x != w:
+                known[w] = known[x] + known[w[len(c) :]]
 
     def ids(self, texts: list[str | None]) -> Iterator[bytes]:
         for at in range(0, len(texts), 500):
             parts = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts[at : at + 500]]
-            for cache in (self.known, self.words, self.marks):
-                if len(cache) > _CACHED:
-                    cache.clear()
-                    cache[""] = b""
-            new: set[str] = set()
-            for p in parts:
-                new.update(p)
-            new.difference_update(self.known)
-            found = self._learn(new)
-            long = {w: found.pop(w) for w in [w for w in found if len(w) > _CACHED_CHARS]}
-            self.known.update(found)
+            if len(self.known) > _CACHED:
+                self.known = {"": b""}
+            new = set().union(*parts).difference(self.known)
+            long = {w for w in new if len(w) > _CACHED_CHARS}
+            self._learn(list(new - long))
+            once = dict(zip(long, self._ids(list(long)), strict=True))
             get = self.known.__getitem__
             for p in parts:
-                yield b"".join([long[w] if w in long else get(w) for w in p] if long else map(get, p))
+                yield b"".join([once[w] if w in once else get(w) for w in p] if once else map(get, p))
 
 
 def _cut(path: str, size: int, end_id: int, with_ids: bool):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        kept = worker_cache()
+        encoder = kept.get(path) or kept.setdefault(path, Encoder(path))
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 part = batch.slice(at, 1000)

@@ -24,17 +24,17 @@ BIN_DIGITS = 3
 BLANK_WORD = r"[^\x20\x09-\x0D]+"
 
 
-def tree(docs: DataFrame) -> DataFrame:
-    """doc_id, domain, lang, source, n_tokens of each row; null keys are ``?``. The domain follows from the source's number, modulo three."""
-    number = F.coalesce(F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]{1,6})$", 1).try_cast("int"), F.lit(0)) % 3
+def leaf(docs: DataFrame) -> list[Column]:
+    """domain, lang, source of each row; null keys are ``?``. The domain follows from the source's number, modulo three."""
+    number = F.coalesce(F.regexp_extract(F.coalesce(docs["source"], F.lit("")), "([0-9]{1,6})$", 1).try_cast("int"), F.lit(0)) % 3
     names = list(DOMAINS)
-    return docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"),
-        F.when(number == 0, names[0]).when(number == 1, names[1]).otherwise(names[2]).alias("domain"),
-        F.coalesce("lang", F.lit("?")).alias("lang"),
-        F.coalesce("source", F.lit("?")).alias("source"),
-        F.regexp_count(F.coalesce("text", F.lit("")), F.lit(BLANK_WORD)).cast("bigint").alias("n_tokens"),
-    )
+    domain = F.when(number == 0, names[0]).when(number == 1, names[1]).otherwise(names[2])
+    return [domain.alias("domain"), F.coalesce(docs["lang"], F.lit("?")).alias("lang"), F.coalesce(docs["source"], F.lit("?")).alias("source")]
+
+
+def tree(docs: DataFrame) -> DataFrame:
+    """doc_id, domain, lang, source, n_tokens of each row."""
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *leaf(docs), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(BLANK_WORD)).cast("bigint").alias("n_tokens"))
 
 
 def order_key(epoch: Column, doc_id: Column, seed: int) -> Column:
@@ -42,6 +42,10 @@ def order_key(epoch: Column, doc_id: Column, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit("?"))).cast("binary"))
 
 
+def _full_key(epoch: Column, doc_id: Column, seed: int) -> Column:
+    return F.concat(order_key(epoch, doc_id, seed), F.lpad(F.coalesce(doc_id.cast("string"), F.lit("?")), 20, "0"))
+
+
 def share(nodes: DataFrame, parent: list[str]) -> DataFrame:
     """``nodes`` (.., weight, supply, parent_budget) with ``budget``: the parent's budget by weight, none above its supply, as much of it used as can be.
 
@@ -84,7 +88,7 @@ def cuts(rows: DataFrame, share_of_all: float, epochs: int, seed: int) -> DataFr
         "budgets",
     )
     partial = planned.where((F.col("epochs_whole") < epochs) & (F.col("tokens") > 0)).withColumn("rest", F.col("budget") - F.col("epochs_whole") * F.col("tokens")).select(*LEAF, "epochs_whole", "rest")
-    keyed = rows.join(partial, LEAF).withColumn("key", F.concat(order_key(F.col("epochs_whole"), F.col("doc_id"), seed), F.lpad(F.coalesce(F.col("doc_id").cast("string"), F.lit("?")), 20, "0"))).withColumn("bin", F.substring("key", 1, BIN_DIGITS))
+    keyed = rows.join(partial, LEAF).withColumn("key", _full_key(F.col("epochs_whole"), F.col("doc_id"), seed)).withColumn("bin", F.substring("key", 1, BIN_DIGITS))
     bins = keyed.groupBy(*LEAF, "bin").agg(F.sum("n_tokens").alias("t"), F.first("rest").alias("rest"))
     run = Window.partitionBy(*LEAF).orderBy("bin")
     bins = stage(bins.withColumn("upto", F.sum("t").over(run)), "bins")
@@ -108,21 +112,24 @@ def mix(docs: DataFrame, share_of_all: float = SHARE, epochs: int = EPOCHS, seed
 
 
 def _selected(rows: DataFrame, ends: DataFrame, epochs: int, seed: int) -> DataFrame:
-    key = F.concat(order_key(F.col("epoch"), F.col("doc_id"), seed), F.lpad(F.coalesce(F.col("doc_id").cast("string"), F.lit("?")), 20, "0"))
+    key = _full_key(F.col("epoch"), F.col("doc_id"), seed)
     offered = rows.join(ends, LEAF).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.least(F.lit(epochs - 1), F.col("epochs_whole")))))
     taken = (F.col("epoch") < F.col("epochs_whole")) | (key <= F.col("cut"))
     return offered.where(taken).select("doc_id", "epoch", *LEAF, "n_tokens")
 
 
 def select_documents(docs: DataFrame, share_of_all: float, seed: int = SEED) -> DataFrame:
-    """``docs`` with its own columns: the rows that one epoch of :func:`mix` takes."""
+    """``docs`` with its own columns: the rows that one epoch of :func:`mix` takes.
+
+    A row's leaf and key decide, so the texts are not shuffled: only the cuts, one row a leaf, are joined to them.
+    """
     rows = stage(tree(docs), "leaves")
     ends = stage(cuts(rows, share_of_all, 1, seed), "cuts")
-    taken = _selected(rows, ends, 1, seed).select(F.col("doc_id").alias("__id"), *[F.col(c).alias(f"__{c}") for c in LEAF]).distinct()
-    taken = stage(taken, "taken")
-    discard(rows, ends)
-    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.coalesce(docs["lang"], F.lit("?")) == F.col("__lang")) & (F.coalesce(docs["source"], F.lit("?")) == F.col("__source"))
-    return docs.join(taken, same, "left_semi")
+    discard(rows)
+    ends = ends.where("epochs_whole > 0 or cut is not null").select(*[F.col(c).alias(f"__{c}") for c in LEAF], F.col("epochs_whole").alias("__whole"), F.col("cut").alias("__cut"))
+    same = [x == F.col(f"__{c}") for x, c in zip(leaf(docs), LEAF, strict=True)]
+    taken = (F.col("__whole") > 0) | (_full_key(F.lit(0), docs["doc_id"].cast("bigint"), seed) <= F.col("__cut"))
+    return docs.join(ends, [*same, taken], "left_semi")
 
 
 def _sql_share(source: str, parent: str, order: str) -> str:

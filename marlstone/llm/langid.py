@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Runs of letters; the check in :func:`tokens` drops the few non-letters that this class also takes.
+#: Runs of letters; learning and predicting leave out words of the few non-letters that this class also takes.
 WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows of each language that a model learns from, at most.
 ROWS_PER_LANGUAGE = 4000
@@ -42,7 +42,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     found: Counter = Counter()
     for batch in batches:
         for lang, text in zip(batch["lang"], batch["text"], strict=True):
-            found.update((lang, w) for w in tokens(text) if len(w) <= 40)
+            found.update((lang, w) for w in tokens(text) if len(w) <= 40 and any(map(str.isalpha, w)))
             if len(found) > 200_000:
                 yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["lang", "word", "n"])
                 found.clear()

@@ -64,6 +64,8 @@ class Encoder:
     def _learn(self, new: list[str]) -> None:
         """Add the ids of ``new`` parts, which hold no blanks, to those that are known."""
         known = self.known
+        if not new:
+            return
         cores = [w.rstrip(MARKS) for w in new]
         lows = "\n".join(cores).lower().split("\n")
         plain = [c.isalpha() and (c.isascii() or max(c) < "\u0100") for c in cores]

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import relational
+from . import media, relational
 
-_MODULES = (relational,)
+_MODULES = (media, relational)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,8 +1,9 @@
 """Language identification by words first, then ever shorter character n-grams.
 
 Learning counts words by language over a bounded, seeded sample of labelled rows and keeps, for every language, its most frequent words
-and the n-grams of all words. A known word scores by its log frequency in each language. An unseen word backs off to its longest
-n-grams (5 to 1 characters, with word borders) of which any is known. A text's score is the posterior of its best language.
+and the n-grams of all words. Runs of more than LONG letters, as of texts without blanks, are learned by their n-grams only. A known word scores by
+its log frequency in each language. An unseen word or long run backs off to the longest n-grams (5 to 1 characters, with word borders) of its whole
+length of which any is known. A text's score is the posterior of its best language.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ ROWS_PER_LANGUAGE = 4000
 WORDS_PER_LANGUAGE = 50_000
 GRAMS = 200_000
 LONGEST = 5
+#: Letters of a run that is a word, at most.
+LONG = 40
+#: n-grams of a long run that are held at once.
+PIECE = 1 << 16
 #: Words of a text that count as independent evidence in the posterior, at most.
 EVIDENCE = 40
 
@@ -38,16 +43,34 @@ def grams(word: str, n: int) -> list[str]:
     return [w[i : i + n] for i in range(len(w) - n + 1)]
 
 
+def pieces(word: str, n: int) -> Iterator[list[str]]:
+    """The n-grams of a whole run, PIECE at a time."""
+    w = f"^{word}$"
+    last = len(w) - n + 1
+    for at in range(0, last, PIECE):
+        yield [w[i : i + n] for i in range(at, min(at + PIECE, last))]
+
+
+def _counted(found: Counter, most: int) -> Iterator[pd.DataFrame]:
+    if len(found) > most:
+        yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["lang", "size", "word", "n"])
+        found.clear()
+
+
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     found: Counter = Counter()
     for batch in batches:
         for lang, text in zip(batch["lang"], batch["text"], strict=True):
-            found.update((lang, w) for w in tokens(text) if len(w) <= 40 and any(map(str.isalpha, w)))
-            if len(found) > 200_000:
-                yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["lang", "word", "n"])
-                found.clear()
-    if found:
-        yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["lang", "word", "n"])
+            words = tokens(text)
+            found.update((lang, 0, w) for w in words if len(w) <= LONG and any(map(str.isalpha, w)))
+            yield from _counted(found, 200_000)
+            for w in words:
+                if len(w) > LONG and any(map(str.isalpha, w)):
+                    for size in range(1, LONGEST + 1):
+                        for own in pieces(w, size):
+                            found.update((lang, size, g) for g in own)
+                            yield from _counted(found, 200_000)
+    yield from _counted(found, 0)
 
 
 class Model:
@@ -56,8 +79,10 @@ class Model:
     def __init__(self, counts: pd.DataFrame, langs: list[str]):
         self.langs = langs
         at = {x: i for i, x in enumerate(langs)}
-        words, cols, times = (counts[c].tolist() for c in ("word", "lang", "n"))
-        cols = [at[x] for x in cols]
+        split = {k: own for k, own in counts.groupby("size")}  # 0: words; others: n-grams of long runs
+        parts = [split.get(size, counts.iloc[:0]) for size in range(LONGEST + 1)]
+        names_of, cols_of, times_of = zip(*[(own["word"].tolist(), [at[x] for x in own["lang"]], own["n"].tolist()) for own in parts], strict=True)
+        words, cols, times = names_of[0], cols_of[0], times_of[0]
         tables, first, kept = [np.zeros((1, len(langs)), np.float32)], 1, []
         for size in range(LONGEST + 1):  # words themselves are of size 0 here; one size is held at a time
             own: dict[str, int] = {}
@@ -67,6 +92,9 @@ class Model:
                 rows.extend(own.setdefault(g, len(own)) for g in found)
                 widths.append(len(found))
             col, n = np.repeat(np.array(cols, np.int64), widths), np.repeat(np.array(times, np.float64), widths)
+            if size:
+                rows.extend(own.setdefault(g, len(own)) for g in names_of[size])
+                col, n = np.concatenate((col, np.array(cols_of[size], np.int64))), np.concatenate((n, np.array(times_of[size], np.float64)))
             table = np.zeros((len(own), len(langs)))
             np.add.at(table, (np.frombuffer(rows, np.int64), col), n)
             most = len(own) if not size else GRAMS // LONGEST
@@ -83,10 +111,22 @@ class Model:
         """Rows of the longest n-grams of which any is known; row 0 if not even a single character is."""
         for size in range(min(LONGEST, len(word) + 2), 0, -1):
             known = self.grams[size]
-            if found := [known[g] for g in grams(word[:60], size) if g in known]:
+            if found := [known[g] for g in grams(word, size) if g in known]:
                 return found
         return [0]
 
+    def mean(self, run: str) -> np.ndarray:
+        """The mean of the rows of :meth:`backoff`, for a run of any length."""
+        for size in range(min(LONGEST, len(run) + 2), 0, -1):
+            known, n, total = self.grams[size], 0, np.zeros(self.table.shape[1])
+            for own in pieces(run, size):
+                if rows := [known[g] for g in own if g in known]:
+                    total += self.table[rows].sum(0, dtype=np.float64)
+                    n += len(rows)
+            if n:
+                return total / n
+        return self.table[0]
+
 
 class Predictor:
     """Scores texts; vectors of words that the model doesn't know are kept until there are CACHED of them."""
@@ -105,10 +145,13 @@ class Predictor:
         self.index.update((w, -1) for w in words)
         if not known:
             return
-        rows = [self.model.backoff(w) for w in known]
+        rows = [self.model.backoff(w) if len(w) <= LONG else [0] for w in known]
         sizes = np.fromiter(map(len, rows), np.int64, len(rows))
         flat = np.fromiter((r for own in rows for r in own), np.int64, int(sizes.sum()))
         new = np.add.reduceat(self.model.table[flat], np.concatenate(([0], np.cumsum(sizes)[:-1]))) / sizes[:, None]
+        for i, w in enumerate(known):
+            if len(w) > LONG:
+                new[i] = self.model.mean(w)
         if self.used + len(new) > len(self.table):
             grown = np.empty((2 * len(self.table) + len(new), new.shape[1]), np.float32)
             grown[: self.used] = self.table[: self.used]
@@ -151,20 +194,20 @@ class Predictor:
 def learn(docs: DataFrame, where: Column, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> Model:
     """A model of the rows that ``where`` admits and whose language and text aren't null.
 
-    The sample takes at most about ROWS_PER_LANGUAGE rows of each language by a seeded hash of the id. Only word counts reach the driver, bounded by
-    WORDS_PER_LANGUAGE. Without any labelled row the model knows no language and answers ``und``.
+    The sample takes at most about ROWS_PER_LANGUAGE rows of each language by a seeded hash of the id. Only counts reach the driver: of each language, the
+    WORDS_PER_LANGUAGE most frequent words and, of each size, as many of the most frequent n-grams of long runs as a model keeps in all. Without any labelled row the model knows no language and answers ``und``.
     """
     rows = docs.where(where & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
     if not sizes:
-        return Model(pd.DataFrame(columns=["lang", "word", "n"]), [])
+        return Model(pd.DataFrame(columns=["lang", "size", "word", "n"]), [])
     scale = 1 << 30
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(scale, scale * ROWS_PER_LANGUAGE // n))])
     picked = rows.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(scale)) < share[F.col("lang")])
-    counts = picked.select("lang", "text").mapInPandas(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    kept = counts.withColumn("r", rank).where(f"r <= {WORDS_PER_LANGUAGE}").drop("r").toPandas()
-    return Model(kept.sort_values(["lang", "word"]), sorted(set(kept["lang"])))
+    counts = picked.select("lang", "text").mapInPandas(_count, "lang string, size int, word string, n long").groupBy("lang", "size", "word").agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.desc("n"), "word"))
+    kept = counts.withColumn("r", rank).where(f"r <= if(size = 0, {WORDS_PER_LANGUAGE}, {GRAMS // LONGEST})").drop("r").toPandas()
+    return Model(kept.sort_values(["lang", "size", "word"]), sorted(set(kept["lang"])))
 
 
 def _predict(shipped):

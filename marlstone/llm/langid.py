@@ -198,12 +198,9 @@ def learn(docs: DataFrame, where: Column, lang_col: str = "lang", text_col: str
     WORDS_PER_LANGUAGE most frequent words and, of each size, as many of the most frequent n-grams of long runs as a model keeps in all. Without any labelled row the model knows no language and answers ``und``.
     """
     rows = docs.where(where & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
-    if not sizes:
-        return Model(pd.DataFrame(columns=["lang", "size", "word", "n"]), [])
     scale = 1 << 30
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(scale, scale * ROWS_PER_LANGUAGE // n))])
-    picked = rows.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(scale)) < share[F.col("lang")])
+    share = rows.groupBy("lang").agg(F.expr(f"least({scale}, {scale * ROWS_PER_LANGUAGE} div count(*))").alias("share"))
+    picked = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(scale)) < F.col("share"))
     counts = picked.select("lang", "text").mapInPandas(_count, "lang string, size int, word string, n long").groupBy("lang", "size", "word").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.desc("n"), "word"))
     kept = counts.withColumn("r", rank).where(f"r <= if(size = 0, {WORDS_PER_LANGUAGE}, {GRAMS // LONGEST})").drop("r").toPandas()

@@ -36,3 +36,8 @@ def test_long_run_read_whole(unspaced, monkeypatch):
     monkeypatch.setattr(langid, "PIECE", 7)
     assert [g for own in langid.pieces(text, 5) for g in own] == langid.grams(text, 5)
     assert langid.Predictor(unspaced).predict([text])[1] == pytest.approx(scores)
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, _run("abcdefghij", 12, i), f"l{i:04}", None, None) for i in range(1100)]
+    assert langid.learn(spark.createDataFrame(rows, DOCS), F.lit(True)).langs == [r[2] for r in rows]

@@ -84,7 +84,7 @@ def cuts(rows: DataFrame, share_of_all: float, epochs: int, seed: int) -> DataFr
     """
     leaves = rows.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens"))
     planned = stage(
-        budgets(leaves, share_of_all, epochs).withColumn("epochs_whole", F.when(F.col("tokens") > 0, F.least(F.lit(epochs), F.floor(F.col("budget") / F.col("tokens")))).otherwise(1).cast("int")),
+        budgets(leaves, share_of_all, epochs).withColumn("epochs_whole", F.when(F.col("tokens") > 0, F.least(F.lit(epochs), F.floor(F.col("budget") / F.col("tokens")))).otherwise(epochs).cast("int")),
         "budgets",
     )
     partial = planned.where((F.col("epochs_whole") < epochs) & (F.col("tokens") > 0)).withColumn("rest", F.col("budget") - F.col("epochs_whole") * F.col("tokens")).select(*LEAF, "epochs_whole", "rest")

@@ -3,9 +3,11 @@
 import random
 
 import pytest
-from marlstone.llm import langid
+from marlstone.llm import langid, mixing
 from pyspark.sql import functions as F
 
+from tests import oracle
+
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
@@ -41,3 +43,14 @@ def test_long_run_read_whole(unspaced, monkeypatch):
 def test_every_language_is_learned(spark):
     rows = [(i, _run("abcdefghij", 12, i), f"l{i:04}", None, None) for i in range(1100)]
     assert langid.learn(spark.createDataFrame(rows, DOCS), F.lit(True)).langs == [r[2] for r in rows]
+
+
+def test_leaf_without_words_comes_in_every_epoch(spark, tmp_path):
+    texts = [(1, None), (2, ""), (3, " \t\n"), (None, None)]
+    rows = [(i, t, "en", "web-1", None) for i, t in texts] + [(10 + i, "a b c d e", "de", "web-2", None) for i in range(20)]
+    docs = spark.createDataFrame(rows, DOCS)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r["doc_id"], r["epoch"]) for r in mixing.mix(docs).where("lang = 'en'").collect()]
+    assert sorted(got, key=str) == sorted(((i, e) for i, _ in texts for e in range(mixing.EPOCHS)), key=str)
+    assert oracle.difference(mixing.mix(docs), str(tmp_path), mixing.oracle_sql()) is None
+    assert mixing.select_documents(docs, 0.5).where("lang = 'en'").count() == len(texts)

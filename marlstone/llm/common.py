@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import tempfile
 import types
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The six ASCII white-space characters that the operators treat as separators.
 BLANKS = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 
+#: Keys that are sent to every task at most: 2**20 keys of two numbers are some 60 MB. Beyond it both sides are shuffled by key.
+BROADCAST_KEYS = 1 << 20
+
 _local_dir: dict[str, str] = {}
 
 
@@ -60,6 +66,54 @@ def worker_cache() -> dict:
     return vars(sys.modules.setdefault("_marlstone_kept", types.ModuleType("_marlstone_kept")))
 
 
+def give_back() -> None:
+    """Return a Python worker's freed memory to the system: workers outlive their tasks, and what they hold counts against the executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, with underscores added until no column of ``df`` has them in either case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def sized(keys: DataFrame) -> DataFrame:
+    """``keys``, a staged table, as the side of a join: broadcast if it has BROADCAST_KEYS rows at most, else left to a shuffle."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
+def column(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def without(docs: DataFrame, doc_id: Column, check: Column, lost: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose (doc_id, check) are in ``lost``; of those in ``repeated`` one row a key stays.
+
+    Of rows that repeat a key the one whose columns come first as JSON stays. ``lost`` and ``repeated`` (doc_id, check) are staged tables without repeats and without a common key.
+    Whole rows are shuffled only if there are more than BROADCAST_KEYS keys; rows of repeated keys are reduced before they are.
+    """
+    a, b = fresh(docs, "lost_id", "lost_check")
+    named = lambda keys: keys.select(F.col("doc_id").alias(a), F.col("check").alias(b))
+    same = doc_id.eqNullSafe(F.col(a)) & (check == F.col(b))
+    kept = docs.join(sized(named(lost)), same, "left_anti")
+    if repeated.isEmpty():
+        return kept
+    again = sized(named(repeated))
+    whole = F.struct(*map(column, docs.columns))
+    one = docs.join(again, same).groupBy(a, b).agg(F.min_by(whole, F.to_json(whole)).alias("row")).select("row.*")
+    return kept.join(again, same, "left_anti").union(one)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -9,7 +9,7 @@ from .common import discard, stage
 
 
 def _smallest(pairs: DataFrame) -> DataFrame:
-    """For each node u of ``pairs`` (u, v): the smallest of u and its v. Aggregated before the shuffle, so hubs don't matter."""
+    """For each node u of ``pairs`` (u, v): the smallest of u and its v. Aggregated before the shuffle, so a hub is one row a task here."""
     return pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
 
@@ -18,7 +18,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     A round maps each node's larger neighbours, then its smaller ones, to the smallest; a component becomes a star in
     O(log n) rounds. Every round is written to the shared folder. Edges, labels and counts stay distributed; only one (count, checksum) row
-    a round reaches the driver. Self loops, repeated edges and either direction are accepted; null ends are ignored.
+    a round reaches the driver. In the joins by node a hub's neighbours are one key: adaptive execution splits such a partition, since the other
+    side has one row a node. Self loops, repeated edges and either direction are accepted; null ends are ignored.
     """
     edges = stage(
         edges.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),

@@ -13,7 +13,9 @@ def sections(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def table_cells(lines: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, row_ordinal, column_ordinal, text: cells between runs of two or more blanks, of texts in which at least two lines have two cells."""
-    cells = lines.withColumn("cells", F.split("text", r"[ \t]{2,}")).where(F.size("cells") >= 2)
-    rows = cells.withColumn("n", F.count("*").over(Window.partitionBy(key))).where("n >= 2")
+    """key, row_ordinal, column_ordinal, text: cells between runs of two or more blanks, of texts in which at least two lines have two cells. A single blank inside a cell is a space."""
+    cells = F.transform(F.split(F.regexp_replace("text", r"^\s+|\s+$", ""), r"\s{2,}"), lambda c: F.regexp_replace(c, r"\s", " "))
+    cells = lines.withColumn("cells", cells).where(F.size("cells") >= 2)
+    many = cells.groupBy(key).agg(F.count("*").alias("n")).where("n >= 2").select(F.col(key).alias("_key"))
+    rows = cells.join(many, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
     return rows.select(key, F.col("ordinal").alias("row_ordinal"), F.posexplode("cells").alias("column_ordinal", "text"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, relational
+from . import engine, media, relational
 
-_MODULES = (media, relational)
+_MODULES = (media, engine, relational)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

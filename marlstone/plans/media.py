@@ -19,16 +19,25 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("label "), F.col("label").cast("string")).alias("text"), F.col("embedding").alias("values"))
 
 
-def _first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
-    return _table(spark, sf_dir, "embeddings").where("vec_id = 0").first()["embedding"]
+def _first_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "embeddings").where("vec_id = 0").select(F.col("embedding").alias("query"))
+
+
+def _shown(ranked: DataFrame) -> DataFrame:
+    """Scores to six places, for display: they are ranked as they are."""
+    return ranked.withColumn("score", F.round(F.col("score").cast("double"), 6))
 
 
 def semantic_topk_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.rank(_records(spark, sf_dir), _first_vector(spark, sf_dir), 10)
+    return _shown(search.rank(_records(spark, sf_dir), _first_vector(spark, sf_dir), 10))
+
+
+def semantic_topk_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(search.rank(_records(spark, sf_dir), _first_vector(spark, sf_dir), 10, candidates=100))
 
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.rank_hybrid(_records(spark, sf_dir), _first_vector(spark, sf_dir), "label 3", 10, 100, 0.5)
+    return _shown(search.rank_hybrid(_records(spark, sf_dir), _first_vector(spark, sf_dir), "label 3", 100, 0.5).limit(10))
 
 
 def keyword_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,14 +87,17 @@ def refresh_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.counters(changed_sources(spark, sf_dir))
 
 
-_SCORED = "SELECT e.vec_id AS id, 'label ' || e.label AS text, round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE len(e.embedding) = len(q.embedding)"
+_SCORE = "list_reduce(list_transform(range(1, len(e.embedding) + 1), lambda i: e.embedding[i] * q.embedding[i]), lambda a, b: a + b)"
+_SCORED = f"SELECT e.vec_id AS id, 'label ' || e.label AS text, {_SCORE} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE len(e.embedding) = len(q.embedding)"
+_KEYWORDS = "(contains(text, 'label')::INT + contains(text, '3')::INT)::FLOAT / 2::FLOAT"
 _LINES = r"SELECT doc_id, (unnest(range(len(l))))::INTEGER AS ordinal, unnest(l) AS text FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS l FROM documents)"
 _CHANGED = "SELECT doc_id AS uri, md5(coalesce(text, '')) AS source_version FROM documents WHERE lang IS NULL OR lang <> 'en'"
 _ASCII = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL: dict[str, str] = {
-    "semantic_topk_exact": f"SELECT *, 'ranked' AS ranking_semantics FROM ({_SCORED}) ORDER BY score DESC, id LIMIT 10",
-    "hybrid_search": f"SELECT id, text, round(0.5::DOUBLE * score + 0.5::DOUBLE * (contains(text, 'label')::INT + contains(text, '3')::INT) / 2.0::DOUBLE, 6) AS score, 'ranked' AS ranking_semantics FROM (SELECT * FROM ({_SCORED}) ORDER BY score DESC, id LIMIT 100) ORDER BY 3 DESC, id LIMIT 10",
+    "semantic_topk_exact": f"SELECT id, text, round(score::DOUBLE, 6) AS score, 'ranked' AS ranking_semantics FROM (SELECT * FROM ({_SCORED}) ORDER BY score DESC, id LIMIT 10)",
+    "semantic_topk_approximate": f"SELECT id, text, round(score::DOUBLE, 6) AS score, 'approximate' AS ranking_semantics FROM (SELECT * FROM (SELECT * FROM ({_SCORED}) ORDER BY id LIMIT 100) ORDER BY score DESC, id LIMIT 10)",
+    "hybrid_search": f"SELECT id, text, round(s::DOUBLE, 6) AS score, 'ranked' AS ranking_semantics FROM (SELECT id, text, (0.5::FLOAT * score + 0.5::FLOAT * {_KEYWORDS})::FLOAT AS s FROM (SELECT * FROM ({_SCORED}) ORDER BY score DESC, id LIMIT 100) ORDER BY s DESC, id LIMIT 10)",
     "keyword_scores": f"SELECT doc_id, (2 * contains(t, 'the')::INT + contains(t, 'an')::INT + contains(t, 'zz')::INT) / 4.0::DOUBLE AS score FROM (SELECT doc_id, {_ASCII} AS t FROM documents)",
     "transcript_search": "SELECT conv_id AS media_id, turn * 1000 AS start_millis, turn * 1000 + 1000 AS end_millis, text FROM conversations WHERE contains(lower(text), 'an') ORDER BY 1, 2, 4 LIMIT 1024",
     "media_references": r"SELECT page_id, url AS uri, 'document' AS media_type, 'external' AS storage_mode, coalesce(regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*:') AND NOT regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*@') AND NOT regexp_matches(lower(url), '[?&](signature|sig|token|access_token|x-amz-signature|x-goog-signature)(=|&|#|$)'), false) AS valid FROM pages",

@@ -2,7 +2,8 @@
 
 Patterns give the base spans. Beyond them, base64 and hex candidates are decoded and only reported when what they hold parses:
 DER whose nested lengths fit exactly and whose shape is a key's, SSH key blobs with consistent length prefixes, or signed tokens whose
-header is JSON with an algorithm.
+header is JSON with an algorithm and whose other parts decode. Keys state their own length, so they are found at any place of a run, behind letters or a
+slash and before others; base64 may be wrapped over lines, also with escaped line ends. Decoded text is searched once more.
 """
 
 from __future__ import annotations
@@ -11,12 +12,15 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import column, give_back
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 #: Any text with a match of ASSIGN holds one of these in lower case.
 ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
@@ -26,12 +30,26 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "token", "der_key", "ssh_key")
 BASE = frozenset(KINDS[:3])
 
-TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-HEX_CODED = re.compile(r"(?:[0-9a-f]{2}){24,}|(?:[0-9A-F]{2}){24,}")
+#: Dot-separated parts; a JSON object begins with a brace, then a blank or a quote.
+DOTTED = re.compile(r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*){2,}")
+HEADER = re.compile(r"e[wy](?=[A-Za-z0-9_-]{6})")
+ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*KEY)-----")
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
+#: Lines of base64 with real or escaped ends; all but the last are of one length.
+LINE_END = re.compile(r"(?:\r?\n|\\r\\n|\\n)[ \t]*")
+WRAPPED = re.compile(rf"[A-Za-z0-9+/_-]{{40,80}}(?:{LINE_END.pattern}[A-Za-z0-9+/_-]{{1,80}}={{0,2}})+")
+HEX_CODED = re.compile(r"[0-9a-f]{48,}|[0-9A-F]{48,}")
+#: What a DER sequence, an SSH blob and an SSH container begin with, in base64 and in hex.
+KEY_BASE64 = re.compile(r"M[A-P]|AAAA|b3BlbnNzaC1rZXktdjEA")
+KEY_HEX = re.compile(r"30|000000|6f70656e7373682d6b65792d763100", re.I)
+#: Keys and token headers are no longer than this; it bounds the work on runs that look like one at every place.
+KEY_BYTES, HEADER_CHARS = 1 << 16, 1 << 12
 #: Object identifiers that open an AlgorithmIdentifier of a key: RSA, EC, Ed25519/X25519 family, DSA.
-KEY_OIDS = (bytes.fromhex("2a864886f70d0101"), bytes.fromhex("2a8648ce3d02"), bytes.fromhex("2b65"), bytes.fromhex("2a8648ce38"))
+KEY_OIDS = RSA_OID, EC_OID, EDWARDS_OID, DSA_OID = (bytes.fromhex("2a864886f70d0101"), bytes.fromhex("2a8648ce3d02"), bytes.fromhex("2b65"), bytes.fromhex("2a8648ce38"))
+#: Those of password-based encryption: PKCS#5 and PKCS#12.
+SEALED_OIDS = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+#: Fields of an SSH public key by its type.
+SSH_FIELDS = {b"ssh-rsa": 3, b"ssh-dss": 5, b"ssh-ed25519": 2, b"ecdsa-sha2-nistp256": 3, b"ecdsa-sha2-nistp384": 3, b"ecdsa-sha2-nistp521": 3}
 
 
 def der(data: bytes, at: int = 0, end: int | None = None, depth: int = 0) -> list | None:
@@ -64,54 +82,110 @@ def der(data: bytes, at: int = 0, end: int | None = None, depth: int = 0) -> lis
     return out
 
 
+def der_size(head: bytes) -> int | None:
+    """Bytes of the sequence that ``head`` begins, its own header included."""
+    if len(head) < 2 or head[0] != 0x30:
+        return None
+    size, width = head[1], head[1] & 0x7F
+    if not size & 0x80:
+        return 2 + size
+    if not 1 <= width <= 3 or len(head) < 2 + width:
+        return None
+    return 2 + width + int.from_bytes(head[2 : 2 + width], "big")
+
+
+def _sequence(data: bytes) -> list | None:
+    top = der(data)
+    return top[0][1] if top and len(top) == 1 and isinstance(top[0][1], list) and top[0][0] == 0x30 else None
+
+
+def _is_rsa_private(parts: list) -> bool:
+    return len(parts) >= 9 and all(t == 2 for t, _ in parts[:9])
+
+
+def _is_sec1(parts: list) -> bool:
+    return len(parts) >= 2 and [t for t, _ in parts[:2]] == [2, 4] and parts[0][1] == b"\x01" and len(parts[1][1]) in (28, 32, 48, 66)
+
+
+def _holds_key(oid: bytes, octets: bytes) -> bool:
+    """The octets of a PKCS#8 private key, by its algorithm."""
+    if oid.startswith(RSA_OID):
+        return _is_rsa_private(_sequence(octets) or [])
+    if oid.startswith(EC_OID):
+        return _is_sec1(_sequence(octets) or [])
+    inner = der(octets)
+    return bool(inner) and len(inner) == 1 and inner[0][0] == (4 if oid.startswith(EDWARDS_OID) else 2)
+
+
 def is_der_key(data: bytes) -> bool:
-    """PKCS#1 or PKCS#8 private keys, SEC1 EC keys and SubjectPublicKeyInfo."""
+    """PKCS#1 keys, PKCS#8 private keys, plain or encrypted, SEC1 EC keys and SubjectPublicKeyInfo."""
     if len(data) < 24 or data[0] != 0x30:
         return False
-    top = der(data)
-    if not top or len(top) != 1 or not isinstance(top[0][1], list):
+    parts = _sequence(data)
+    if not parts:
         return False
-    parts = top[0][1]
     tags = [t for t, _ in parts]
-    if len(parts) >= 9 and all(t == 2 for t in tags[:9]):  # PKCS#1: version and eight integers
+    if _is_rsa_private(parts) or _is_sec1(parts):
         return True
-    if len(parts) == 2 and tags == [2, 2]:  # PKCS#1 public
+    if tags == [2, 2]:  # PKCS#1 public
         return len(parts[0][1]) >= 48 and len(parts[1][1]) <= 8
-    if len(parts) >= 3 and tags[:3] == [2, 0x30, 4]:  # PKCS#8
-        alg = parts[1][1]
-        return bool(alg) and alg[0][0] == 6 and alg[0][1].startswith(KEY_OIDS)
-    if len(parts) >= 2 and tags[:2] == [2, 4] and parts[0][1] == b"\x01":  # SEC1
-        return len(parts[1][1]) in (28, 32, 48, 66)
-    if len(parts) == 2 and tags == [0x30, 3]:  # SubjectPublicKeyInfo
-        alg = parts[0][1]
-        return bool(alg) and alg[0][0] == 6 and alg[0][1].startswith(KEY_OIDS)
+    alg = next((own for t, own in parts[:2] if t == 0x30), None)
+    oid = alg[0][1] if alg and alg[0][0] == 6 else b""
+    if tags[:3] == [2, 0x30, 4]:  # PKCS#8
+        return oid.startswith(KEY_OIDS) and _holds_key(oid, parts[2][1])
+    if tags == [0x30, 4]:  # PKCS#8, encrypted
+        return oid.startswith(SEALED_OIDS) and len(parts[1][1]) >= 24
+    if tags == [0x30, 3]:  # SubjectPublicKeyInfo
+        return oid.startswith(KEY_OIDS)
     return False
 
 
-def is_ssh_key(data: bytes) -> bool:
-    """A public key blob (named type, fields that fill it exactly) or the private container (cipher, kdf, options, count)."""
+def ssh_size(data: bytes) -> int | None:
+    """Bytes of the SSH key that ``data`` begins: a public key blob (named type, as many fields as it has) or the private container."""
+
+    def field(at: int) -> int | None:
+        end = at + 4 + int.from_bytes(data[at : at + 4], "big")
+        return end if at + 4 <= len(data) and end <= len(data) else None
+
     private = data.startswith(b"openssh-key-v1\0")
-    at, fields = 15 if private else 0, []
-    while at < len(data) and not (private and len(fields) == 3):
-        size = int.from_bytes(data[at : at + 4], "big")
-        fields.append(data[at + 4 : at + 4 + size])
-        if at + 4 > len(data) or len(fields[-1]) != size:
-            return False
-        at += 4 + size
-    if private:
-        return len(fields) == 3 and fields[0].isascii() and at + 4 <= len(data) and 1 <= int.from_bytes(data[at : at + 4], "big") <= 64
-    return len(fields) >= 2 and bool(re.fullmatch(rb"ssh-(rsa|dss|ed25519)|ecdsa-sha2-nistp\d{3}", fields[0]))
-
-
-def is_token_header(part: str) -> bool:
-    raw = unbase64(part)
-    if raw is None or raw[:1] != b"{":
-        return False
+    at, left = (15, 3) if private else (0, 1)
+    while left:
+        if (end := field(at)) is None:
+            return None
+        if not at:
+            left = SSH_FIELDS.get(data[4:end], 0)
+            if not left:
+                return None
+        at, left = end, left - 1
+    if private:  # the number of keys, as many public blobs, and the private part
+        if not 1 <= (keys := int.from_bytes(data[at : at + 4], "big")) <= 64:
+            return None
+        at += 4
+        for _ in range(keys + 1):
+            if (at := field(at)) is None:
+                return None
+    return at
+
+
+def token_size(dotted: str, at: int) -> int | None:
+    """Characters of the signed or encrypted token that begins at ``at``: a JSON header with an algorithm, and parts that decode."""
+    parts = dotted[at:].split(".", 5)
+    head = unbase64(parts[0])
+    if head is None or head[:1] != b"{":
+        return None
     try:
-        head = json.loads(raw)
+        head = json.loads(head)
     except (ValueError, RecursionError):
-        return False
-    return isinstance(head, dict) and isinstance(head.get("alg"), str)
+        return None
+    if not isinstance(head, dict) or not isinstance(head.get("alg"), str):
+        return None
+    need = 5 if isinstance(head.get("enc"), str) else 3
+    own = parts[:need]
+    if len(own) < need or any(unbase64(p) is None for p in own[1:]):
+        return None
+    if need == 3 and (not own[1] or bool(own[2]) == (head["alg"].lower() == "none")) or need == 5 and not (own[2] and own[3] and own[4]):
+        return None
+    return len(".".join(own))
 
 
 def unbase64(text: str) -> bytes | None:
@@ -124,25 +198,123 @@ def unbase64(text: str) -> bytes | None:
         return None
 
 
-def confirmed(data: bytes | None, depth: int = 0) -> str | None:
-    """The kind of secret that decoded bytes hold; text inside is decoded once more."""
-    if not data or len(data) < 24:
-        return None
-    if data[0] == 0x30 and is_der_key(data):
-        return "der_key"
-    if (data[:3] == b"\0\0\0" or data.startswith(b"openssh-key-v1\0")) and is_ssh_key(data):
-        return "ssh_key"
-    if depth == 0 and data.isascii():
-        inner = data.decode().strip()
-        if BASE64.fullmatch(inner):
-            return confirmed(unbase64(inner), 1)
-        if TOKEN.fullmatch(inner) and is_token_header(inner.split(".")[0]):
-            return "token"
-        if HEX_CODED.fullmatch(inner):
-            return confirmed(bytes.fromhex(inner), 1)
+def _key_at(read, room: int) -> tuple[str, int] | None:
+    """The kind and bytes of the key at the start of what ``read`` (number of bytes -> bytes) gives of ``room`` bytes."""
+    head = read(min(room, 24))
+    size = der_size(head)
+    if size is not None:
+        return ("der_key", size) if 24 <= size <= min(room, KEY_BYTES) and is_der_key(read(size)) else None
+    if head.startswith(b"openssh-key-v1\0") or head[4:8] in (b"ssh-", b"ecds"):
+        data = read(min(room, KEY_BYTES))
+        if (size := ssh_size(data)) and size >= 24:
+            return "ssh_key", size
     return None
 
 
+def _base64_keys(run: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, kind) of the keys in a run of base64 letters, from left to right, none inside another."""
+    run = run.rstrip("=").translate({45: 43, 95: 47})
+    done = 0
+    for m in KEY_BASE64.finditer(run):
+        at = m.start()
+        if at < done or len(run) - at < 32:
+            continue
+        read = lambda n, a=at: base64.b64decode((p := run[a : a + -(-4 * n // 3)]) + "=" * (-len(p) % 4))[:n]
+        if found := _key_at(read, (len(run) - at) * 3 // 4):
+            done = at - (-4 * found[1] // 3)
+            yield at, done, found[0]
+
+
+def _hex_keys(run: str) -> Iterator[tuple[int, int, str]]:
+    done = 0
+    for m in KEY_HEX.finditer(run):
+        at = m.start()
+        if at >= done and (found := _key_at(lambda n, a=at: bytes.fromhex(run[a : a + 2 * n]), (len(run) - at) // 2)):
+            done = at + 2 * found[1]
+            yield at, done, found[0]
+
+
+def _inside(data: bytes | None, depth: int) -> str | None:
+    """The kind of secret in decoded bytes that are text."""
+    if not data or depth or len(data) < 24 or not data.isascii():
+        return None
+    found = structures(data.decode(), depth + 1)
+    return found[0][2] if found else None
+
+
+def _armoured(text: str) -> Iterator[tuple[int, int, str]]:
+    missing, done = set(), 0
+    for m in ARMOUR.finditer(text):
+        end = f"-----END {m[1]}-----"
+        if m.start() < done or end in missing:
+            continue
+        if (stop := text.find(end, m.end())) < 0:
+            missing.add(end)
+            continue
+        lines = [x.strip(" \t\"',+") for x in re.split(r"\r?\n|\\r\\n|\\n|\r", text[m.end() : stop])]
+        heads = [x for x in lines if ":" in x]
+        data = unbase64("".join("".join(x for x in lines if ":" not in x).split()))
+        if data is None:
+            continue
+        sealed = any("ENCRYPTED" in x for x in heads) and any(x.startswith("DEK-Info") for x in heads) and len(data) >= 64 and len(data) % 8 == 0
+        found = ("der_key", len(data)) if sealed else _key_at(lambda n, d=data: d[:n], len(data))
+        if found and found[1] == len(data):
+            done = stop + len(end)
+            yield m.start(), done, found[0]
+
+
+def structures(text: str, depth: int = 0) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of what is confirmed by its structure."""
+    out = []
+    if "." in text and HEADER.search(text):
+        for m in DOTTED.finditer(text):
+            first = m[0].index(".")
+            for h in HEADER.finditer(m[0], max(0, first - HEADER_CHARS), first):
+                if size := token_size(m[0], h.start()):
+                    out.append((m.start() + h.start(), m.start() + h.start() + size, "token"))
+                    break
+    armoured = list(_armoured(text)) if "-----BEGIN " in text else []
+    out += armoured
+    free = lambda a: not any(p <= a < q for p, q, _ in armoured)
+    runs = [(m[0], [(0, m.start())]) for m in BASE64.finditer(text) if free(m.start())]
+    for m in WRAPPED.finditer(text) if "\n" in text or "\\n" in text else ():
+        if not free(m.start()):
+            continue
+        ends = [(0, 0), *((x.start(), x.end()) for x in LINE_END.finditer(m[0])), (len(m[0]), len(m[0]))]
+        lines = [(b, m[0][b:c]) for (_, b), (c, _) in zip(ends, ends[1:], strict=False)]
+        many = next((k for k, (_, x) in enumerate(lines) if len(x) != len(lines[0][1])), len(lines))
+        if many < len(lines) and len(lines[many][1]) < len(lines[0][1]):
+            many += 1
+        if many > 1:
+            runs.append(("".join(x for _, x in lines[:many]), _places(lines[:many], m.start())))
+    for run, places in runs:
+        keys = [p for p, _ in places]
+        spot = lambda k, keys=keys, places=places: places[bisect_right(keys, k) - 1]
+        place = lambda k, spot=spot: spot(k)[1] + k - spot(k)[0]
+        found = list(_base64_keys(run))
+        pad = len(run) - len(run.rstrip("="))
+        body = len(run) - pad
+        for a, b, kind in found:
+            if len(places) == 1 or spot(a) != spot(b - 1):
+                out.append((place(a), place(b - 1) + 1 + (pad if b == body else 0), kind))
+        if not found and (kind := _inside(unbase64(run), depth)):
+            out.append((place(0), place(len(run) - 1) + 1, kind))
+    for m in HEX_CODED.finditer(text):
+        found = list(_hex_keys(m[0]))
+        out += [(m.start() + a, m.start() + b, kind) for a, b, kind in found]
+        if not found and (kind := _inside(bytes.fromhex(m[0][: len(m[0]) // 2 * 2]), depth)):
+            out.append((m.start(), m.end(), kind))
+    return out
+
+
+def _places(lines: list[tuple[int, str]], start: int) -> list[tuple[int, int]]:
+    out, at = [], 0
+    for offset, x in lines:
+        out.append((at, start + offset))
+        at += len(x)
+    return out
+
+
 def scan(text: str | None) -> list[tuple[int, int, str]]:
     """All spans (start, end, kind) of a text in code points, by start, then kind as listed in KINDS."""
     if not text:
@@ -153,37 +325,31 @@ def scan(text: str | None) -> list[tuple[int, int, str]]:
         out += [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     out += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text)]
     out += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
-    if "eyJ" in text:
-        out += [(m.start(), m.end(), "token") for m in TOKEN.finditer(text) if is_token_header(m[0].split(".")[0])]
-    armoured = []
-    if "-----BEGIN " in text:
-        for m in ARMOUR.finditer(text):
-            if kind := confirmed(unbase64("".join(m[2].split()))):
-                out.append((m.start(), m.end(), kind))
-                armoured.append((m.start(), m.end()))
-    for pattern, decode in ((BASE64, unbase64), (HEX_CODED, bytes.fromhex)):
-        for m in pattern.finditer(text):
-            if any(a <= m.start() < b for a, b in armoured):
-                continue
-            if kind := confirmed(decode(m[0])):
-                out.append((m.start(), m.end(), kind))
-    return sorted(set(out), key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
-
-
-def _scan_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        found = [scan(t) for t in batch.pop("__text")]
-        yield batch.assign(spans=[[{"kind": k, "start": a, "end": b} for a, b, k in f] for f in found])
+    return sorted({*out, *structures(text)}, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
+
+
+SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
+_SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+
+
+def spans_of(text: Column) -> Column:
+    """All spans of a whole text. Only texts go to Python workers."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([[{"kind": k, "start": a, "end": b} for a, b, k in scan(t)] for t in batch.to_pylist()], pa.list_(_SPAN))
+        give_back()
+
+    return F.arrow_udf(run, SPANS)(text)
 
 
 def find_secrets(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with ``spans``: array of (kind, start, end) in code points, end exclusive.
+    """The columns ``keep`` of ``docs`` (all by default) with ``spans``: array of (kind, start, end) in code points, end exclusive.
 
-    Null and empty texts have no span; texts of any length are scanned whole; repeated rows each get theirs. Equal starts are ordered by KINDS.
+    Null and empty texts have no span; texts of any length are scanned whole; repeated rows each get theirs; an empty table gives no rows. Equal starts are ordered by
+    KINDS. A column of ``docs`` that is named spans is replaced; columns of any other name are kept as they are.
     """
-    keep = keep or docs.columns
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInPandas(_scan_all, f"{schema}, spans array<struct<kind:string,start:bigint,end:bigint>>")
+    return docs.select(*[column(c) for c in keep or docs.columns if c.lower() != "spans"], spans_of(column(text_col)).alias("spans"))
 
 
 def digest_columns(found: DataFrame) -> DataFrame:

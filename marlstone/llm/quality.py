@@ -12,13 +12,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import column, discard, give_back, stage
+
 #: Buckets of hashed words, rank of the interactions.
 BUCKETS, RANK = 2048, 8
 #: Labelled rows that a model is fitted on, about, picked by a seeded hash of the id.
 TRAINING_ROWS = 8000
+#: Words of 64 letters at most whose buckets a task keeps.
+KEPT_WORDS = 200_000
 EPOCHS, BATCH, RATE, DECAY = 30, 256, 0.02, 1e-4
 
 _KIND = np.zeros(256, np.uint8)  # 0 lower, 1 upper, 2 digit, 3 blank, 4 new line, 5 beyond ASCII, 6 full stop or comma, 7 other marks
@@ -44,7 +49,7 @@ def statistics(text: str, words: list[str], counts: Counter) -> list[float]:
         np.log1p(len(raw)), np.log1p(len(words)), sum(map(len, words)) / m, *share,
         len(counts) / m, (top[0] if top else 0) / m, sum(top) / m, sum(c == 1 for c in counts.values()) / m,
         len(set(lines)) / q, np.log1p(len(lines)), np.log1p(len(text) / q), sum(x.rstrip()[-1] in ".!?" for x in lines) / q,
-        sum(not any(map(str.isalnum, w[:20])) for w in counts) / max(1, len(counts)), sum(w[-1:] in "!#%$&*" for w in counts) / max(1, len(counts)),
+        sum(not any(map(str.isalnum, w)) for w in counts) / max(1, len(counts)), sum(w[-1:] in "!#%$&*" for w in counts) / max(1, len(counts)),
         np.log1p(max(map(len, counts), default=0)), m / (1 + stops), float(-(freq * np.log(freq)).sum()), text.count("|") / m, text.count("!") / m,
     ]
 
@@ -58,9 +63,11 @@ def features(text: str | None, n_chars: float | None, cache: dict[str, int]) ->
     for w, c in counts.items():
         k = cache.get(w)
         if k is None:
-            if len(cache) > 300_000:
-                cache.clear()
-            k = cache[w] = zlib.crc32(w.lower().encode("utf-8", "surrogatepass")) % BUCKETS
+            k = zlib.crc32(w.lower().encode("utf-8", "surrogatepass")) % BUCKETS
+            if len(w) <= 64:
+                if len(cache) >= KEPT_WORDS:
+                    cache.clear()
+                cache[w] = k
         bag[k] = bag.get(k, 0.0) + c
     at = np.fromiter(bag, np.int32, len(bag))
     x = np.log1p(np.fromiter(bag.values(), np.float32, len(bag)))
@@ -74,7 +81,7 @@ def _featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     cache: dict[str, int] = {}
     for batch in batches:
         got = [features(t, n, cache) for t, n in zip(batch["text"], batch["n_chars"], strict=True)]
-        yield pd.DataFrame({"at": [g[0] for g in got], "x": [g[1] for g in got], "s": [g[2] for g in got], "y": batch["y"]})
+        yield pd.DataFrame({"at": [g[0] for g in got], "x": [g[1] for g in got], "s": [g[2] for g in got], "y": batch["y"], "place": batch["place"]})
 
 
 class Machine:
@@ -87,12 +94,25 @@ class Machine:
     def standard(self, s: np.ndarray) -> np.ndarray:
         return np.clip((s - self.mean) * self.scale, -4, 4) * 0.4
 
+    def parts(self) -> tuple:
+        """The machine as plain values: a broadcast of these can be read where this package isn't installed."""
+        return self.w0, self.w, self.v, self.mean, self.scale
+
+    def score_all(self, rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Scores of rows of :func:`features`, to nine places, so that they don't depend on which rows come together."""
+        if not rows:
+            return np.empty(0)
+        at = np.concatenate([np.append(r[0], 0) for r in rows])  # an entry of weight 0 ends each bag, so none is empty
+        x = np.concatenate([np.append(r[1], 0) for r in rows]).astype(np.float64)
+        first = np.cumsum([0, *[len(r[0]) + 1 for r in rows[:-1]]])
+        z = self.standard(np.stack([r[2] for r in rows])).astype(np.float64)
+        total = np.add.reduceat(x[:, None] * self.v[at], first) + z @ self.v[BUCKETS:]
+        own = np.add.reduceat(x * x * self.square[at], first) + (z * z) @ self.square[BUCKETS:]
+        y = self.w0 + np.add.reduceat(x * self.w[at], first) + z @ self.w[BUCKETS:] + 0.5 * ((total * total).sum(1) - own)
+        return np.round(1 / (1 + np.exp(-np.clip(y, -30, 30))), 9)
+
     def score(self, at: np.ndarray, x: np.ndarray, s: np.ndarray) -> float:
-        z = self.standard(s)
-        total = x @ self.v[at] + z @ self.v[BUCKETS:]
-        own = (x * x) @ self.square[at] + (z * z) @ self.square[BUCKETS:]
-        y = self.w0 + x @ self.w[at] + z @ self.w[BUCKETS:] + 0.5 * (total @ total - own)
-        return float(1 / (1 + np.exp(-np.clip(y, -30, 30))))
+        return float(self.score_all([(at, x, s)])[0])
 
 
 def fit(rows: pd.DataFrame, seed: int = 6) -> Machine:
@@ -134,33 +154,44 @@ def fit(rows: pd.DataFrame, seed: int = 6) -> Machine:
 def learn(docs: DataFrame, labels: DataFrame, where: Column, label_col: str = "quality") -> Machine:
     """A machine fitted on about TRAINING_ROWS labelled rows that ``where`` (over doc_id) admits.
 
-    Rows without a label, or whose id is null or not in ``docs``, teach nothing. Of repeated labels of an id the largest counts.
+    Rows without a label, or whose id is null or not in ``docs``, teach nothing. Of repeated labels of an id the largest counts; rows that repeat an id each teach. Rows
+    are put in the order of their texts' hashes, so the machine doesn't depend on how the tables lie in files. Without rows all scores are 0.5. Extra columns are ignored.
     """
-    own = labels.where(where & F.col("doc_id").isNotNull() & F.col(label_col).isNotNull()).groupBy("doc_id").agg(F.max(label_col).cast("float").alias("y"))
+    own = stage(labels.where(where & F.col("doc_id").isNotNull() & F.col(label_col).isNotNull()).groupBy("doc_id").agg(F.max(label_col).cast("float").alias("y")), "labels")
     n = own.count()
     scale = 1 << 30
     picked = own.where(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(scale)) < min(scale, scale * TRAINING_ROWS // max(1, n)))
-    rows = docs.select("doc_id", "text", F.col("n_chars").cast("double")).join(F.broadcast(picked), "doc_id")  # about TRAINING_ROWS rows of 12 bytes
-    got = rows.select("text", "n_chars", "y").mapInPandas(_featurise, "at array<int>, x array<float>, s array<float>, y float").toPandas()
-    return fit(got.sort_values("y", kind="stable").reset_index(drop=True))
+    rows = docs.select("doc_id", "text", F.col("n_chars").cast("double").alias("n_chars")).join(F.broadcast(picked), "doc_id")  # about TRAINING_ROWS rows of 12 bytes
+    rows = rows.select("text", "n_chars", "y", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("place"))
+    got = rows.mapInPandas(_featurise, "at array<int>, x array<float>, s array<float>, y float, place string").toPandas()
+    discard(own)
+    got["meta"] = [float(s[-2]) for s in got["s"]]
+    return fit(got.sort_values(["place", "y", "meta"], kind="stable").reset_index(drop=True))
+
 
+def scored(spark: SparkSession, machine: Machine, text: Column, n_chars: Column) -> Column:
+    """The score of a whole text. Only texts and character counts go to Python workers."""
+    shipped = spark.sparkContext.broadcast(machine.parts())
 
-def _score(shipped):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        machine, cache = shipped.value, {}
-        for batch in batches:
-            yield batch.assign(score=[machine.score(*features(t, n, cache)) for t, n in zip(batch.pop("__text"), batch.pop("__n"), strict=True)])
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        own, cache = Machine(*shipped.value), {}
+        for texts, counts in batches:
+            out = []
+            for at in range(0, len(texts), 500):
+                rows = zip(texts.slice(at, 500).to_pylist(), counts.slice(at, 500).to_pylist(), strict=True)
+                out.append(own.score_all([features(t, n, cache) for t, n in rows]))
+            yield pa.array(np.concatenate(out) if out else [], pa.float64())
+        give_back()
 
-    return run
+    return F.arrow_udf(run, "double")(text, n_chars.cast("double"))
 
 
 def score(docs: DataFrame, machine: Machine, text_col: str = "text", n_chars_col: str = "n_chars", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with score (0 to 1, higher: label 1 likelier) and predicted (score >= 0.5).
+    """The columns ``keep`` of ``docs`` (all by default) with score (0 to 1, higher: label 1 likelier) and predicted (score >= 0.5).
 
-    A null text counts as empty and gets a score too; a null character count is a feature of its own. Whole texts are read, whatever their length.
+    A null text counts as empty and gets a score too; a null character count is a feature of its own. Whole texts are read, whatever their length. Repeated rows each get
+    their score; an empty table gives no rows. A column of ``docs`` that is named score or predicted is replaced; columns of any other name are kept as they are.
     """
-    keep = keep or docs.columns
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    shipped = docs.sparkSession.sparkContext.broadcast(machine)
-    rows = docs.select(*keep, F.col(text_col).alias("__text"), F.col(n_chars_col).cast("double").alias("__n"))
-    return rows.mapInPandas(_score(shipped), f"{schema}, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    own = [column(c) for c in keep or docs.columns if c.lower() not in ("score", "predicted")]
+    found = docs.select(*own, scored(docs.sparkSession, machine, column(text_col), column(n_chars_col)).alias("score"))
+    return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -156,6 +156,24 @@ def frame_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 GROUPS_SQL = "SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_suppkey ORDER BY l_quantity GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS n FROM lineitem"
 
 
+def not_in(rows: DataFrame, key: str, values: DataFrame) -> DataFrame:
+    """``rows`` whose ``key`` is NOT IN the one column of ``values``, by SQL's rules for null: nothing if ``values`` has a null, everything if it is empty, else no null key.
+
+    An anti join by key, which may shuffle, and one row of counts: the NOT IN of a SQL text broadcasts all of ``values``, however many there are.
+    """
+    (name,) = values.columns
+    counts = values.agg(F.count("*").alias("_n"), F.count_if(F.col(name).isNull()).alias("_nulls"))
+    kept = rows.join(values.select(F.col(name).alias("_v")), F.col(key) == F.col("_v"), "left_anti").crossJoin(F.broadcast(counts))
+    return kept.where("_n = 0 OR (_nulls = 0 AND " + f"`{key}` IS NOT NULL)").drop("_n", "_nulls")
+
+
+def in_subquery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line, part, supplier = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "part", "supplier"))
+    small = part.where("p_size < 10").select(F.col("p_partkey").alias("l_partkey"))
+    found = not_in(line.join(small, "l_partkey", "left_semi").select("l_suppkey"), "l_suppkey", supplier.where("s_acctbal < 0").select("s_suppkey"))
+    return found.agg(F.count("*").alias("n"))
+
+
 def approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches: distinct count and percentile; engines differ in them, so rows are compared only in number."""
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey").alias("parts"), F.percentile_approx("l_extendedprice", 0.5).alias("median_price"))
@@ -204,6 +222,7 @@ FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "rel_asof_join": (as_of, AS_OF_SQL),
     "rel_range_join": (range_join, RANGE_SQL),
     "rel_frame_groups": (frame_groups, GROUPS_SQL),
+    "rel_in_subquery": (in_subquery, SHARED["rel_in_subquery"]),
     "rel_sort_nulls": (sort_nulls, SHARED["rel_sort_nulls"]),
     "rel_approximate": (approximate, None),
     "rel_approximate_error": (approximate_error, APPROXIMATE_SQL),

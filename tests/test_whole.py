@@ -26,3 +26,12 @@ def test_sort_nulls_odd_keys(spark, tmp_path):
     spark.createDataFrame(rows, "o_orderkey bigint, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
     got = sorted(((r["k"], r["rn"]) for r in relational.queries()["rel_sort_nulls"](spark, str(tmp_path)).collect()), key=lambda r: r[1])
     assert got == ranks(rows)
+
+
+def test_not_in_and_nulls(spark):
+    rows = spark.createDataFrame([(1,), (2,), (None,)], "k int")
+    for values, want in (([1], [2]), ([1, None], []), ([], [None, 1, 2]), ([None], []), ([7], [1, 2])):
+        given = spark.createDataFrame([(v,) for v in values], "v int")
+        rows.createOrReplaceTempView("not_in_rows"), given.createOrReplaceTempView("not_in_values")
+        got = sorted((r["k"] for r in relational.not_in(rows, "k", given).collect()), key=str)
+        assert got == sorted(want, key=str) == sorted((r["k"] for r in spark.sql("SELECT k FROM not_in_rows WHERE k NOT IN (SELECT v FROM not_in_values)").collect()), key=str)

@@ -8,10 +8,13 @@ the prefix of its seeded epochs that its budget covers. The prefix is found by b
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, stage
+from .common import discard, fresh, stage
 
 DOMAINS = {"web": 0.5, "reference": 0.3, "forum": 0.2}
 LANGUAGES = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
@@ -24,17 +27,46 @@ BIN_DIGITS = 3
 BLANK_WORD = r"[^\x20\x09-\x0D]+"
 
 
-def leaf(docs: DataFrame) -> list[Column]:
-    """domain, lang, source of each row; null keys are ``?``. The domain follows from the source's number, modulo three."""
-    number = F.coalesce(F.regexp_extract(F.coalesce(docs["source"], F.lit("")), "([0-9]{1,6})$", 1).try_cast("int"), F.lit(0)) % 3
+def by_number(source: Column) -> Column:
+    """The domain that follows from the number a source's name ends with, modulo three."""
+    number = F.coalesce(F.regexp_extract(F.coalesce(source, F.lit("")), "([0-9]{1,6})$", 1).try_cast("int"), F.lit(0)) % 3
     names = list(DOMAINS)
-    domain = F.when(number == 0, names[0]).when(number == 1, names[1]).otherwise(names[2])
-    return [domain.alias("domain"), F.coalesce(docs["lang"], F.lit("?")).alias("lang"), F.coalesce(docs["source"], F.lit("?")).alias("source")]
+    return F.when(number == 0, names[0]).when(number == 1, names[1]).otherwise(names[2])
+
+
+@dataclass(frozen=True)
+class Weights:
+    """Positive weights of domains, of languages in a domain and of sources in a language; what isn't named has ``other``, a source 1. ``domain_of``: a source's domain."""
+
+    domains: dict[str, float] = field(default_factory=lambda: DOMAINS)
+    languages: dict[str, float] = field(default_factory=lambda: LANGUAGES)
+    sources: dict[str, float] = field(default_factory=dict)
+    other: float = OTHER
+    domain_of: Callable[[Column], Column] = by_number
+
+    def __post_init__(self) -> None:
+        if min([self.other, *self.domains.values(), *self.languages.values(), *self.sources.values()]) <= 0:
+            raise ValueError("weights must be positive")
+
+
+DEFAULT = Weights()
+
+
+def _weight(named: dict[str, float], key: str, other: float) -> Column:
+    if not named:
+        return F.lit(float(other))
+    known = F.create_map(*[F.lit(x) for k, v in named.items() for x in (k, float(v))])
+    return F.coalesce(F.try_element_at(known, F.col(key)), F.lit(float(other)))
+
+
+def leaf(docs: DataFrame, weights: Weights = DEFAULT) -> list[Column]:
+    """domain, lang, source of each row; null keys are ``?``."""
+    return [F.coalesce(weights.domain_of(docs["source"]), F.lit("?")).alias("domain"), F.coalesce(docs["lang"], F.lit("?")).alias("lang"), F.coalesce(docs["source"], F.lit("?")).alias("source")]
 
 
-def tree(docs: DataFrame) -> DataFrame:
+def tree(docs: DataFrame, weights: Weights = DEFAULT) -> DataFrame:
     """doc_id, domain, lang, source, n_tokens of each row."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *leaf(docs), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(BLANK_WORD)).cast("bigint").alias("n_tokens"))
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *leaf(docs, weights), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(BLANK_WORD)).cast("bigint").alias("n_tokens"))
 
 
 def order_key(epoch: Column, doc_id: Column, seed: int) -> Column:
@@ -62,29 +94,27 @@ def share(nodes: DataFrame, parent: list[str]) -> DataFrame:
     return out.withColumn("budget", F.when(F.col("full"), F.col("supply")).otherwise(F.greatest(F.lit(0.0), F.col("weight") * cut))).drop("level", "full")
 
 
-def budgets(leaves: DataFrame, share_of_all: float, epochs: int) -> DataFrame:
+def budgets(leaves: DataFrame, share_of_all: float, epochs: int, weights: Weights = DEFAULT) -> DataFrame:
     """domain, lang, source, budget (whole tokens) from leaves (domain, lang, source, tokens)."""
     supply = leaves.withColumn("supply", (F.col("tokens") * epochs).cast("double"))
-    known = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
-    by_domain = F.create_map(*[F.lit(x) for kv in DOMAINS.items() for x in kv])
     langs = supply.groupBy("domain", "lang").agg(F.sum("supply").alias("supply"))
     domains = langs.groupBy("domain").agg(F.sum("supply").alias("supply"))
     total = Window.partitionBy("root")
-    top = domains.withColumn("root", F.lit(1)).withColumn("weight", by_domain[F.col("domain")]).withColumn("parent_budget", F.floor(F.sum("supply").over(total) / epochs * share_of_all).cast("double"))
+    top = domains.withColumn("root", F.lit(1)).withColumn("weight", _weight(weights.domains, "domain", weights.other)).withColumn("parent_budget", F.floor(F.sum("supply").over(total) / epochs * share_of_all).cast("double"))
     top = share(top, ["root"]).select("domain", F.col("budget").alias("parent_budget"))
-    mid = share(langs.join(top, "domain").withColumn("weight", F.coalesce(F.try_element_at(known, F.col("lang")), F.lit(OTHER))), ["domain"])
-    low = supply.join(mid.select("domain", "lang", F.col("budget").alias("parent_budget")), ["domain", "lang"]).withColumn("weight", F.lit(1.0))
+    mid = share(langs.join(top, "domain").withColumn("weight", _weight(weights.languages, "lang", weights.other)), ["domain"])
+    low = supply.join(mid.select("domain", "lang", F.col("budget").alias("parent_budget")), ["domain", "lang"]).withColumn("weight", _weight(weights.sources, "source", 1.0))
     return share(low, ["domain", "lang"]).select(*LEAF, "tokens", F.floor(F.col("budget") + 1e-3).cast("bigint").alias("budget"))
 
 
-def cuts(rows: DataFrame, share_of_all: float, epochs: int, seed: int) -> DataFrame:
+def cuts(rows: DataFrame, share_of_all: float, epochs: int, seed: int, weights: Weights = DEFAULT) -> DataFrame:
     """domain, lang, source, epochs_whole, cut: whole epochs are taken whole, and in the next one the keys up to ``cut`` (null: none).
 
     ``rows`` are those of :func:`tree`. The prefix is the longest one whose tokens don't exceed the budget.
     """
     leaves = rows.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens"))
     planned = stage(
-        budgets(leaves, share_of_all, epochs).withColumn("epochs_whole", F.when(F.col("tokens") > 0, F.least(F.lit(epochs), F.floor(F.col("budget") / F.col("tokens")))).otherwise(epochs).cast("int")),
+        budgets(leaves, share_of_all, epochs, weights).withColumn("epochs_whole", F.when(F.col("tokens") > 0, F.least(F.lit(epochs), F.floor(F.col("budget") / F.col("tokens")))).otherwise(epochs).cast("int")),
         "budgets",
     )
     partial = planned.where((F.col("epochs_whole") < epochs) & (F.col("tokens") > 0)).withColumn("rest", F.col("budget") - F.col("epochs_whole") * F.col("tokens")).select(*LEAF, "epochs_whole", "rest")
@@ -96,19 +126,20 @@ def cuts(rows: DataFrame, share_of_all: float, epochs: int, seed: int) -> DataFr
     split = bins.where("upto > rest").groupBy(*LEAF).agg(F.min("bin").alias("bin"), F.min_by(F.col("rest") - (F.col("upto") - F.col("t")), "bin").alias("left"))
     inside = keyed.drop("rest").join(split, [*LEAF, "bin"]).withColumn("upto", F.sum("n_tokens").over(Window.partitionBy(*LEAF, "bin").orderBy("key")))
     ends = inside.where("upto <= left").groupBy(*LEAF).agg(F.max("key").alias("last"))
-    return planned.join(whole, LEAF, "left").join(ends, LEAF, "left").select(*LEAF, "epochs_whole", F.greatest("whole", "last").alias("cut"), "budget")
+    out = stage(planned.join(whole, LEAF, "left").join(ends, LEAF, "left").select(*LEAF, "epochs_whole", F.greatest("whole", "last").alias("cut"), "budget"), "cuts")
+    discard(planned, bins)
+    return out
 
 
-def mix(docs: DataFrame, share_of_all: float = SHARE, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, share_of_all: float = SHARE, epochs: int = EPOCHS, seed: int = SEED, weights: Weights = DEFAULT) -> DataFrame:
     """Per selected document and epoch: doc_id, epoch, domain, lang, source, n_tokens.
 
     ``share_of_all`` of the corpus's words is the target. A document is offered once in each of ``epochs`` seeded orders. Null and empty texts have no words and
     cost nothing. Null languages and sources are the leaf ``?``. Rows that repeat an id stand side by side in the order and are each counted.
     Extra columns are ignored; an empty table gives no rows.
     """
-    rows = stage(tree(docs), "leaves")
-    ends = stage(cuts(rows, share_of_all, epochs, seed), "cuts")
-    return _selected(rows, ends, epochs, seed)
+    rows = stage(tree(docs, weights), "leaves")
+    return _selected(rows, cuts(rows, share_of_all, epochs, seed, weights), epochs, seed)
 
 
 def _selected(rows: DataFrame, ends: DataFrame, epochs: int, seed: int) -> DataFrame:
@@ -118,17 +149,18 @@ def _selected(rows: DataFrame, ends: DataFrame, epochs: int, seed: int) -> DataF
     return offered.where(taken).select("doc_id", "epoch", *LEAF, "n_tokens")
 
 
-def select_documents(docs: DataFrame, share_of_all: float, seed: int = SEED) -> DataFrame:
-    """``docs`` with its own columns: the rows that one epoch of :func:`mix` takes.
+def select_documents(docs: DataFrame, share_of_all: float, seed: int = SEED, weights: Weights = DEFAULT) -> DataFrame:
+    """``docs`` with its own columns, whatever their names: the rows that one epoch of :func:`mix` takes.
 
     A row's leaf and key decide, so the texts are not shuffled: only the cuts, one row a leaf, are joined to them.
     """
-    rows = stage(tree(docs), "leaves")
-    ends = stage(cuts(rows, share_of_all, 1, seed), "cuts")
+    rows = stage(tree(docs, weights), "leaves")
+    ends = cuts(rows, share_of_all, 1, seed, weights)
     discard(rows)
-    ends = ends.where("epochs_whole > 0 or cut is not null").select(*[F.col(c).alias(f"__{c}") for c in LEAF], F.col("epochs_whole").alias("__whole"), F.col("cut").alias("__cut"))
-    same = [x == F.col(f"__{c}") for x, c in zip(leaf(docs), LEAF, strict=True)]
-    taken = (F.col("__whole") > 0) | (_full_key(F.lit(0), docs["doc_id"].cast("bigint"), seed) <= F.col("__cut"))
+    *keys, whole, cut = fresh(docs, *[f"leaf_{c}" for c in LEAF], "whole", "cut")
+    ends = ends.where("epochs_whole > 0 or cut is not null").select(*[F.col(c).alias(k) for c, k in zip(LEAF, keys, strict=True)], F.col("epochs_whole").alias(whole), F.col("cut").alias(cut))
+    same = [x == F.col(k) for x, k in zip(leaf(docs, weights), keys, strict=True)]
+    taken = (F.col(whole) > 0) | (_full_key(F.lit(0), docs["doc_id"].cast("bigint"), seed) <= F.col(cut))
     return docs.join(ends, [*same, taken], "left_semi")
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage, worker_cache
+from .common import give_back, stage, worker_cache
 
 SEQUENCE = 2048
 #: Closes every document.
@@ -26,8 +26,10 @@ END_ID = 0
 PATTERNS, ROUNDS = 24_000, 400
 #: Rows of a salt of a length, about.
 SALT_ROWS = 1 << 19
-#: Parts whose ids a worker keeps, and the characters of the longest one.
-_CACHED, _CACHED_CHARS = 1_200_000, 64
+#: Bytes of parts and their ids that a worker keeps, about, and the characters of the longest part.
+_CACHED_BYTES, _CACHED_CHARS = 112 << 20, 64
+#: Bytes of a kept part besides its own characters: two objects and an entry.
+_ENTRY_BYTES = 190
 
 
 def default_tokenizer() -> str:
@@ -44,6 +46,7 @@ class Encoder:
     """Ids of texts, as little-endian unsigned 32-bit integers.
 
     The tokenizer drops white space and no token crosses it, so a text's ids are those of its parts between blanks, in order; parts repeat and are cached.
+    The cache has two halves: once the younger one is full it becomes the older one, and what is used of the older one moves over. So it is bounded, and keeps what recurs.
     Of a new part, Latin letters and trailing marks are separate words to the tokenizer. New words are encoded as one line; each ends
     at a token with the end-of-word suffix. All other parts are encoded by themselves.
     """
@@ -57,6 +60,7 @@ class Encoder:
         self.final = np.zeros(max(tokenizer.get_vocab().values()) + 1, bool)
         self.final[[i for w, i in tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
+        self.aged: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.encode(texts, add_special_tokens=False)]
@@ -89,9 +93,12 @@ class Encoder:
     def ids(self, texts: list[str | None]) -> Iterator[bytes]:
         for at in range(0, len(texts), 500):
             parts = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts[at : at + 500]]
-            if len(self.known) > _CACHED:
-                self.known = {"": b""}
+            if len(self.known) * _ENTRY_BYTES > _CACHED_BYTES // 2:
+                self.known, self.aged = {"": b""}, self.known
             new = set().union(*parts).difference(self.known)
+            if self.aged and (again := new & self.aged.keys()):
+                self.known.update((w, self.aged[w]) for w in again)
+                new -= again
             long = {w for w in new if len(w) > _CACHED_CHARS}
             self._learn(list(new - long))
             once = dict(zip(long, self._ids(list(long)), strict=True))
@@ -124,6 +131,7 @@ def _cut(path: str, size: int, end_id: int, with_ids: bool):
                 columns = [part.column(0).take(pa.array(doc, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 yield pa.record_batch([*columns, pa.array(ids, pa.binary())], [*names, "ids"]) if with_ids else pa.record_batch(columns, names)
+        give_back()
 
     return run
 

@@ -15,16 +15,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import column, discard, give_back, stage
+
 #: Runs of letters; learning and predicting leave out words of the few non-letters that this class also takes.
 WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows of each language that a model learns from, at most.
 ROWS_PER_LANGUAGE = 4000
-#: Words of each language, and n-grams in all, that a model keeps: its size, and that of the broadcast, is bounded by these.
+#: Words of each language, and n-grams in all, that a model keeps at most.
 WORDS_PER_LANGUAGE = 50_000
 GRAMS = 200_000
+#: Numbers in a model's table of words, about: with many languages each has fewer words, but never less than LEAST_WORDS.
+CELLS, LEAST_WORDS = 1 << 26, 100
 LONGEST = 5
 #: Letters of a run that is a word, at most.
 LONG = 40
@@ -107,6 +112,16 @@ class Model:
             first += len(order)
         self.words, self.grams, self.table = kept[0], kept, np.concatenate(tables)
 
+    def parts(self) -> tuple:
+        """The model as plain values: a broadcast of these can be read where this package isn't installed."""
+        return self.langs, self.words, self.grams, self.table
+
+    @staticmethod
+    def of(parts: tuple) -> Model:
+        out = Model.__new__(Model)
+        out.langs, out.words, out.grams, out.table = parts
+        return out
+
     def backoff(self, word: str) -> list[int]:
         """Rows of the longest n-grams of which any is known; row 0 if not even a single character is."""
         for size in range(min(LONGEST, len(word) + 2), 0, -1):
@@ -129,19 +144,20 @@ class Model:
 
 
 class Predictor:
-    """Scores texts; vectors of words that the model doesn't know are kept until there are CACHED of them."""
+    """Scores texts; vectors of words that the model doesn't know are kept until they have CACHED letters in all, or a tenth as many words."""
 
-    CACHED = 500_000
+    CACHED = 2_000_000
 
     def __init__(self, model: Model):
         self.model = model
         self.forget()
 
     def forget(self) -> None:
-        self.index, self.table, self.used = dict(self.model.words), self.model.table, len(self.model.table)
+        self.index, self.table, self.used, self.letters = dict(self.model.words), self.model.table, len(self.model.table), 0
 
     def _add(self, words: list[str]) -> None:
         known = [w for w in words if any(map(str.isalpha, w))]
+        self.letters += sum(map(len, words))
         self.index.update((w, -1) for w in words)
         if not known:
             return
@@ -171,7 +187,7 @@ class Predictor:
                 if f:
                     new.update(f)
             words = list(new)
-            if len(self.index) > len(self.model.words) + self.CACHED:
+            if self.letters > self.CACHED or len(self.index) > len(self.model.words) + self.CACHED // 10:
                 self.forget()
             self._add([w for w in words if w not in self.index])
             for f in found:
@@ -194,36 +210,48 @@ class Predictor:
 def learn(docs: DataFrame, where: Column, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> Model:
     """A model of the rows that ``where`` admits and whose language and text aren't null.
 
-    The sample takes at most about ROWS_PER_LANGUAGE rows of each language by a seeded hash of the id. Only counts reach the driver: of each language, the
-    WORDS_PER_LANGUAGE most frequent words and, of each size, as many of the most frequent n-grams of long runs as a model keeps in all. Without any labelled row the model knows no language and answers ``und``.
+    The sample takes at most about ROWS_PER_LANGUAGE rows of each language by a seeded hash of the id. Only counts reach the driver: of each language its
+    most frequent words, WORDS_PER_LANGUAGE of them or as many as CELLS allows, and, of each size, as many of the most frequent n-grams of long runs as a model keeps in all.
+    Repeated rows count as often as they occur; extra columns are ignored. Without any labelled row, as of an empty table, the model knows no language and answers ``und``.
     """
     rows = docs.where(where & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     scale = 1 << 30
-    share = rows.groupBy("lang").agg(F.expr(f"least({scale}, {scale * ROWS_PER_LANGUAGE} div count(*))").alias("share"))
-    picked = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(scale)) < F.col("share"))
+    share = stage(rows.groupBy("lang").agg(F.expr(f"least({scale}, {scale * ROWS_PER_LANGUAGE} div count(*))").alias("share")), "languages")
+    langs = max(1, share.count())
+    most = max(LEAST_WORDS, min(WORDS_PER_LANGUAGE, CELLS // langs**2))
+    picked = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(scale)) < F.col("share"))  # one row a language
     counts = picked.select("lang", "text").mapInPandas(_count, "lang string, size int, word string, n long").groupBy("lang", "size", "word").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.desc("n"), "word"))
-    kept = counts.withColumn("r", rank).where(f"r <= if(size = 0, {WORDS_PER_LANGUAGE}, {GRAMS // LONGEST})").drop("r").toPandas()
+    kept = counts.withColumn("r", rank).where(f"r <= if(size = 0, {most}, {GRAMS // LONGEST})").drop("r").toPandas()
+    discard(share)
     return Model(kept.sort_values(["lang", "size", "word"]), sorted(set(kept["lang"])))
 
 
-def _predict(shipped):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Predictor(shipped.value)
+VERDICT = "struct<lang_pred:string,score:double>"
+
+
+def verdict(spark: SparkSession, model: Model, text: Column) -> Column:
+    """lang_pred and score of a whole text, as one struct. Only the texts go to Python workers."""
+    shipped = spark.sparkContext.broadcast(model.parts())
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = Predictor(Model.of(shipped.value))
         for batch in batches:
-            langs, scores = own.predict(batch.pop("__text").tolist())
-            yield batch.assign(lang_pred=langs, score=scores)
+            langs, scores = own.predict(batch.to_pylist())
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+        del own
+        give_back()
 
-    return run
+    return F.arrow_udf(run, VERDICT)(text)
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with lang_pred and score (0 to 1) of the whole text.
+    """The columns ``keep`` of ``docs`` (all by default) with lang_pred and score (0 to 1) of the whole text.
 
     ``und`` with score 0 if the text is null or has no letter, or if the model knows no language. Very long texts are read whole.
-    Ties go to the alphabetically first language. Only the text enters a prediction.
+    Ties go to the alphabetically first language. Only the text enters a prediction. Repeated rows each get theirs; an empty table gives no rows. A column of
+    ``docs`` that is named lang_pred or score is replaced; columns of any other name are kept as they are.
     """
-    keep = keep or docs.columns
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInPandas(_predict(shipped), f"{schema}, lang_pred string, score double")
+    found = verdict(docs.sparkSession, model, column(text_col))
+    own = [column(c) for c in keep or docs.columns if c.lower() not in ("lang_pred", "score")]
+    return docs.select(*own, found["lang_pred"].alias("lang_pred"), found["score"].alias("score"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import exact_dedup, langid, minhash, mixing, packing
-from marlstone.llm.common import stage, table
+from marlstone.llm.common import discard, stage, table
 
 #: Below this posterior no language is believed.
 LEAST_SCORE = 0.5
@@ -22,12 +22,12 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised. Without any labelled document nothing is known, and nothing is rejected."""
+    """Documents whose language is recognised, so none with a null, empty or letterless text. Without any labelled document nothing is known, and nothing is rejected."""
     model = langid.learn(docs, F.lit(True))
     if not model.langs:
         return docs
-    found = langid.identify(docs, model)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    found = langid.verdict(spark, model, docs["text"])
+    return docs.where((found["lang_pred"] != "und") & (found["score"] >= LEAST_SCORE))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +54,11 @@ STAGES = [("language", language), ("exact_duplicates", exact_duplicates), ("near
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``. A stage's files are deleted once those of the next one are written; an empty table gives no rows."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -337,7 +337,8 @@ def spans_of(text: Column) -> Column:
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([[{"kind": k, "start": a, "end": b} for a, b, k in scan(t)] for t in batch.to_pylist()], pa.list_(_SPAN))
+            slices = (batch.slice(at, 500).to_pylist() for at in range(0, len(batch), 500))
+            yield pa.array([[{"kind": k, "start": a, "end": b} for a, b, k in scan(t)] for texts in slices for t in texts], pa.list_(_SPAN))
         give_back()
 
     return F.arrow_udf(run, SPANS)(text)

@@ -56,26 +56,34 @@ def pieces(word: str, n: int) -> Iterator[list[str]]:
         yield [w[i : i + n] for i in range(at, min(at + PIECE, last))]
 
 
-def _counted(found: Counter, most: int) -> Iterator[pd.DataFrame]:
+def _counted(found: Counter, most: int) -> Iterator[pa.RecordBatch]:
     if len(found) > most:
-        yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["lang", "size", "word", "n"])
+        langs, sizes, words = zip(*found, strict=True)
+        yield pa.record_batch([pa.array(langs, pa.string()), pa.array(sizes, pa.int32()), pa.array(words, pa.string()), pa.array(found.values(), pa.int64())], ["lang", "size", "word", "n"])
         found.clear()
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+#: Texts that are taken out of an Arrow batch at once.
+TEXTS = 200
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found: Counter = Counter()
     for batch in batches:
-        for lang, text in zip(batch["lang"], batch["text"], strict=True):
-            words = tokens(text)
-            found.update((lang, 0, w) for w in words if len(w) <= LONG and any(map(str.isalpha, w)))
-            yield from _counted(found, 200_000)
-            for w in words:
-                if len(w) > LONG and any(map(str.isalpha, w)):
-                    for size in range(1, LONGEST + 1):
-                        for own in pieces(w, size):
-                            found.update((lang, size, g) for g in own)
-                            yield from _counted(found, 200_000)
+        for at in range(0, len(batch), TEXTS):
+            langs, texts = (batch.column(k).slice(at, TEXTS).to_pylist() for k in (0, 1))
+            for lang, text in zip(langs, texts, strict=True):
+                words = tokens(text)
+                found.update((lang, 0, w) for w in words if len(w) <= LONG and any(map(str.isalpha, w)))
+                yield from _counted(found, 200_000)
+                for w in words:
+                    if len(w) > LONG and any(map(str.isalpha, w)):
+                        for size in range(1, LONGEST + 1):
+                            for own in pieces(w, size):
+                                found.update((lang, size, g) for g in own)
+                                yield from _counted(found, 200_000)
     yield from _counted(found, 0)
+    give_back()
 
 
 class Model:
@@ -220,7 +228,7 @@ def learn(docs: DataFrame, where: Column, lang_col: str = "lang", text_col: str
     langs = max(1, share.count())
     most = max(LEAST_WORDS, min(WORDS_PER_LANGUAGE, CELLS // langs**2))
     picked = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(scale)) < F.col("share"))  # one row a language
-    counts = picked.select("lang", "text").mapInPandas(_count, "lang string, size int, word string, n long").groupBy("lang", "size", "word").agg(F.sum("n").alias("n"))
+    counts = picked.select("lang", "text").mapInArrow(_count, "lang string, size int, word string, n long").groupBy("lang", "size", "word").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.desc("n"), "word"))
     kept = counts.withColumn("r", rank).where(f"r <= if(size = 0, {most}, {GRAMS // LONGEST})").drop("r").toPandas()
     discard(share)
@@ -237,7 +245,11 @@ def verdict(spark: SparkSession, model: Model, text: Column) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Predictor(Model.of(shipped.value))
         for batch in batches:
-            langs, scores = own.predict(batch.to_pylist())
+            langs, scores = [], []
+            for at in range(0, len(batch), TEXTS):
+                found = own.predict(batch.slice(at, TEXTS).to_pylist())
+                langs += found[0]
+                scores += found[1]
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
         del own
         give_back()

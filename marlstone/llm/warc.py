@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, stage
+from .common import discard, shared_path, sized, stage
 
 #: Shorter payloads are never revisits.
 LEAST_BYTES = 100
@@ -178,7 +178,8 @@ def write_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write one record a row of ``pages`` (page_id, url, html) into archives; returns their path, records and bytes.
 
     The payload is the html in UTF-8 (null: empty). Of equal payloads of at least LEAST_BYTES bytes the one with the smallest page_id is the
-    response and all others revisit it; rows that repeat that page_id are responses too. Rows with a null page_id are responses.
+    response and all others revisit it; rows that repeat that page_id are responses too. Rows with a null page_id are responses. Extra columns are ignored whatever their
+    names; an empty table gives no archives. Pages are not shuffled to find revisits unless those are more than BROADCAST_KEYS.
     """
     folder = folder or shared_path(pages.sparkSession, "warc")
     payload = F.coalesce("html", F.lit("")).cast("binary")
@@ -188,13 +189,24 @@ def write_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:
         rows.where(f"n >= {LEAST_BYTES} and page_id is not null").select("page_id", "payload_digest").join(first, "payload_digest").where("page_id != first").select("page_id", "payload_digest", F.col("first").alias("refers_to")).distinct(),
         "revisits",
     )
-    decided = rows.join(repeats, ["page_id", "payload_digest"], "left").select("page_id", "url", "html", "payload_digest", "refers_to")
-    return stage(decided.mapInPandas(_write(folder), "path string, records bigint, bytes bigint"), "archives")
+    decided = rows.join(sized(repeats), ["page_id", "payload_digest"], "left").select("page_id", "url", "html", "payload_digest", "refers_to")
+    archives = stage(decided.mapInPandas(_write(folder), "path string, records bigint, bytes bigint"), "archives")
+    discard(repeats)
+    return archives
+
+
+#: Tasks that read archives, at most.
+READERS = 1 << 13
 
 
 def read_pages(archives: DataFrame) -> DataFrame:
-    """Per page record of the archives: page_id, payload_bytes, payload_digest, record_type, refers_to. Anything damaged fails the job."""
-    return archives.repartition("path").mapInPandas(_read, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+    """Per page record of the archives: page_id, payload_bytes, payload_digest, record_type, refers_to. Anything damaged fails the job.
+
+    There are as many reading tasks as archives, READERS at most; they are dealt out by ranges of their names, which are random.
+    """
+    tasks = max(1, min(READERS, archives.count()))
+    listed = archives.select("path", "records").repartitionByRange(tasks, "path")
+    return listed.mapInPandas(_read, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +21,9 @@ BLANKS = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 #: Keys that are sent to every task at most: 2**20 keys of two numbers are some 60 MB. Beyond it both sides are shuffled by key.
 BROADCAST_KEYS = 1 << 20
 
+#: Rows of whole texts that are sent to a Python worker at once, at most.
+TEXT_ROWS = 1000
+
 _local_dir: dict[str, str] = {}
 
 
@@ -51,6 +56,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def text_batches(spark: SparkSession) -> Iterator[None]:
+    """What is planned and run inside sends TEXT_ROWS rows to Python workers at once, at most: a batch is held several times over, in the JVM and in the worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= TEXT_ROWS:
+        spark.conf.set(key, str(TEXT_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete the files of staged tables that nothing reads any more."""
     for df in frames:
@@ -66,8 +84,19 @@ def worker_cache() -> dict:
     return vars(sys.modules.setdefault("_marlstone_kept", types.ModuleType("_marlstone_kept")))
 
 
+def kept_for(owner: str) -> dict:
+    """:func:`worker_cache` for tasks of ``owner`` alone: what tasks of another one left is dropped first, as it would count against this one's memory."""
+    kept = worker_cache()
+    if kept.get("owner") != owner:
+        for name in [k for k in kept if not k.startswith("__")]:
+            del kept[name]
+        kept["owner"] = owner
+        give_back()
+    return kept
+
+
 def give_back() -> None:
-    """Return a Python worker's freed memory to the system: workers outlive their tasks, and what they hold counts against the executor."""
+    """Return the freed memory of a Python worker, or of the driver's Python, to the system: it outlives tasks and operators, and what it holds counts against the executor or driver."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as sh
-from .common import discard, give_back, sized, stage, without
+from .common import discard, give_back, kept_for, sized, stage, text_batches, without
 from .graph import components
 
 COORDINATES = 128
@@ -37,6 +37,7 @@ SLACK = 6.5
 
 def _profile(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_for("minhash")
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 part = batch.slice(at, 1000)
@@ -67,6 +68,7 @@ def _confirm(n: int, num: int, den: int):
     """Rows sorted by (hub, salt, member): the hub's text comes first, then its members'."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_for("minhash")
         hub, hub_set = None, None
         for batch in batches:
             a, cls, member = (batch.column(i).to_pylist() for i in (0, 1, 2))
@@ -97,7 +99,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -
     rows = stage(rows, "candidates")
     with_text = texts.select("id", "text").join(sized(rows), "id").select("a", "cls", "member", "text", "salt")
     found = with_text.repartition("a", "salt").sortWithinPartitions("a", "salt", "member").mapInArrow(_confirm(n, num, den), "a long, b long")
-    found = stage(found, "links")
+    with text_batches(texts.sparkSession):
+        found = stage(found, "links")
     discard(rows)
     return found
 
@@ -106,6 +109,7 @@ def _sets(n: int):
     """(cls, id, text) -> (cls, set): the sorted hashes as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_for("minhash")
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.slice(at, 500)
@@ -179,6 +183,7 @@ def _by_task(solve):
     """Rows sorted by (key, i, j): ``solve`` gets the rows of each two blocks of a bucket as a table, and as arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_for("minhash")
         held: list[pa.RecordBatch] = []
 
         def solved(last: bool) -> Iterator[pa.RecordBatch]:
@@ -244,14 +249,16 @@ def _remainder(members: DataFrame, classes: DataFrame, part: DataFrame, texts: D
     need = stage(hopeful.select("cls", "id").distinct(), "need")
     sets = texts.select("id", "text").join(sized(need), "id").select("cls", "text").mapInArrow(_sets(words), "cls long, set binary")
     full = hopeful.join(sets, "cls").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    rest = stage(full.mapInArrow(_linked(num, den), "a long, b long"), "remainder")
+    with text_batches(texts.sparkSession):
+        rest = stage(full.mapInArrow(_linked(num, den), "a long, b long"), "remainder")
     discard(hopeful, need)
     return rest
 
 
 def _components(texts: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """Staged rows (id, check, n_shingles, cls) of ``texts`` (id, check, text), and the component of each class (cls, comp). Rows with a null id link with nothing."""
-    rows = stage(texts.select("id", "check", "text").mapInArrow(_profile(words), "id long, check long, n_shingles long, cls long, bands array<long>, low binary"), "profiles")
+    with text_batches(texts.sparkSession):
+        rows = stage(texts.select("id", "check", "text").mapInArrow(_profile(words), "id long, check long, n_shingles long, cls long, bands array<long>, low binary"), "profiles")
     texts = texts.where("text is not null and id is not null")
     classes = stage(
         rows.where("cls is not null and id is not null").groupBy("cls").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("low").alias("low")),

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import give_back, stage, worker_cache
+from .common import give_back, kept_for, stage, text_batches
 
 SEQUENCE = 2048
 #: Closes every document.
@@ -111,7 +111,7 @@ def _cut(path: str, size: int, end_id: int, with_ids: bool):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = worker_cache()
+        kept = kept_for("packing")
         encoder = kept.get(path) or kept.setdefault(path, Encoder(path))
         for batch in batches:
             for at in range(0, len(batch), 1000):
@@ -232,6 +232,7 @@ def places(found: list[tuple[int, list[tuple[int, int]]]]) -> np.ndarray:
 
 def _place(shipped):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_for("places")  # all texts are encoded by now
         table = shipped.value
         keys = (table[:, 0] << 48) | table[:, 1]
         for batch in batches:
@@ -254,7 +255,8 @@ def pack(docs: DataFrame, size: int = SEQUENCE, end_id: int = END_ID, tokenizer:
     """
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = stage(rows.mapInArrow(_cut(tokenizer or default_tokenizer(), size, end_id, with_ids), schema), "pieces")
+    with text_batches(docs.sparkSession):
+        pieces = stage(rows.mapInArrow(_cut(tokenizer or default_tokenizer(), size, end_id, with_ids), schema), "pieces")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `size` rows
     table = places(plan(histogram, size))
     shipped = docs.sparkSession.sparkContext.broadcast(table)

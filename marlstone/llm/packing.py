@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,15 +41,21 @@ def default_tokenizer() -> str:
 
 #: Marks that end a part without being part of a contraction or of a special token's opening.
 MARKS = ".,;:!?#$%&*()[]{}+-=_/|>\"~^@`\\"
+#: A part of Latin letters (all letters below U+0100) and trailing marks.
+LATIN = r"\A(?P<core>[A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+)(?P<tail>[" + "".join("\\" + m for m in MARKS) + r"]*)\z"
+#: Texts whose parts are looked up at once, and the words of a line.
+_TEXTS, _LINE = 1000, 2000
 
 
 class Encoder:
     """Ids of texts, as little-endian unsigned 32-bit integers.
 
-    The tokenizer drops white space and no token crosses it, so a text's ids are those of its parts between blanks, in order; parts repeat and are cached.
-    The cache has two halves: once the younger one is full it becomes the older one, and what is used of the older one moves over. So it is bounded, and keeps what recurs.
-    Of a new part, Latin letters and trailing marks are separate words to the tokenizer. New words are encoded as one line; each ends
-    at a token with the end-of-word suffix. All other parts are encoded by themselves.
+    The tokenizer drops white space and no token crosses it, so a text's ids are those of its parts between ASCII blanks, in order. Arrow splits texts, finds
+    the distinct parts and strings their ids together; Python sees words only. Of a part, Latin letters and trailing marks are separate words to the
+    tokenizer, and letters are lower-cased, so "Word," costs no entry besides "word" and ",". All other parts are words as they are.
+    Words recur and are cached. The cache has two halves: once the younger one is full it becomes the older one, and what is used of the older one
+    moves over. So it is bounded, and keeps what recurs. New words of Latin letters are encoded as one line; each ends at a token with the
+    end-of-word suffix. All others are encoded by themselves.
     """
 
     def __init__(self, path: str):
@@ -65,46 +72,55 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.encode(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        """Add the ids of ``new`` parts, which hold no blanks, to those that are known."""
-        known = self.known
-        if not new:
-            return
-        cores = [w.rstrip(MARKS) for w in new]
-        lows = "\n".join(cores).lower().split("\n")
-        plain = [c.isalpha() and (c.isascii() or max(c) < "\u0100") for c in cores]
-        words = list({x for x, p in zip(lows, plain, strict=True) if p}.difference(known))
-        for at in range(0, len(words), 2000):
-            own = words[at : at + 2000]
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of ``new`` words, which hold no blanks."""
+        latin = [w for w in new if len(w) <= _CACHED_CHARS and w.isalpha() and (w.isascii() or max(w) < "\u0100")]
+        other = list(set(new).difference(latin))
+        out = dict(zip(other, self._ids(other), strict=True))
+        for at in range(0, len(latin), _LINE):
+            own = latin[at : at + _LINE]
             ids = np.array(self.encode([" ".join(own)], add_special_tokens=False)[0].ids, "<u4")
             ends = (4 * (np.flatnonzero(self.final[ids]) + 1)).tolist()
             if len(ends) != len(own):  # a tokenizer of another make
-                known.update(zip(own, self._ids(own), strict=True))
+                out.update(zip(own, self._ids(own), strict=True))
                 continue
             raw = ids.tobytes()
-            known.update((w, raw[a:b]) for w, a, b in zip(own, [0, *ends], ends, strict=False))
-        other = [w for w, p in zip(new, plain, strict=True) if not p]
-        other += list({w[len(c) :] for w, c, p in zip(new, cores, plain, strict=True) if p}.difference(known, other))
-        known.update(zip(other, self._ids(other), strict=True))
-        for w, c, x, p in zip(new, cores, lows, plain, strict=True):
-            if p and x != w:
-                known[w] = known[x] + known[w[len(c) :]]
-
-    def ids(self, texts: list[str | None]) -> Iterator[bytes]:
-        for at in range(0, len(texts), 500):
-            parts = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts[at : at + 500]]
-            if len(self.known) * _ENTRY_BYTES > _CACHED_BYTES // 2:
-                self.known, self.aged = {"": b""}, self.known
-            new = set().union(*parts).difference(self.known)
-            if self.aged and (again := new & self.aged.keys()):
-                self.known.update((w, self.aged[w]) for w in again)
-                new -= again
-            long = {w for w in new if len(w) > _CACHED_CHARS}
-            self._learn(list(new - long))
-            once = dict(zip(long, self._ids(list(long)), strict=True))
-            get = self.known.__getitem__
-            for p in parts:
-                yield b"".join([once[w] if w in once else get(w) for w in p] if once else map(get, p))
+            out.update((w, raw[a:b]) for w, a, b in zip(own, [0, *ends], ends, strict=False))
+        return out
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words."""
+        if len(self.known) * _ENTRY_BYTES > _CACHED_BYTES // 2:
+            self.known, self.aged = {"": b""}, self.known
+        out = list(map(self.known.get, words))
+        new = [w for w, x in zip(words, out, strict=True) if x is None]
+        if not new:
+            return out
+        found = {w: self.aged[w] for w in new if w in self.aged} if self.aged else {}
+        found.update(self._learn([w for w in new if w not in found] if found else new))
+        self.known.update((w, x) for w, x in found.items() if len(w) <= _CACHED_CHARS)
+        return [found[w] if x is None else x for w, x in zip(words, out, strict=True)]
+
+    def _parts(self, parts: pa.Array) -> pa.Array:
+        """Ids of distinct parts."""
+        latin = pc.extract_regex(parts, LATIN)
+        words = pc.coalesce(pc.utf8_lower(pc.struct_field(latin, "core")), parts).dictionary_encode()
+        tails = pc.fill_null(pc.struct_field(latin, "tail"), "").dictionary_encode()
+        ids = [pa.array(self._words(x.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(x.indices) for x in (words, tails)]
+        return pc.binary_join_element_wise(*ids, pa.scalar(b"", pa.large_binary()))
+
+    def ids(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each of ``texts`` (strings; null: empty)."""
+        for at in range(0, len(texts), _TEXTS):
+            split = pc.ascii_split_whitespace(pc.fill_null(texts.slice(at, _TEXTS).cast(pa.large_string()), ""))
+            parts = split.flatten().dictionary_encode()
+            own = self._parts(parts.dictionary).take(parts.indices)
+            ends = np.frombuffer(own.buffers()[1], np.int64)[own.offset :]
+            raw = memoryview(own.buffers()[2] or b"")
+            places = ends[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+            del split, parts, own
+            for a, b in zip(places, places[1:], strict=False):
+                yield raw[a:b].tobytes()
 
 
 def _cut(path: str, size: int, end_id: int, with_ids: bool):
@@ -117,7 +133,7 @@ def _cut(path: str, size: int, end_id: int, with_ids: bool):
             for at in range(0, len(batch), 1000):
                 part = batch.slice(at, 1000)
                 doc, piece, start, length, crc, ids = ([] for _ in range(6))
-                for i, raw in enumerate(encoder.ids(part.column(1).to_pylist())):
+                for i, raw in enumerate(encoder.ids(part.column(1))):
                     raw += end
                     for k, a in enumerate(range(0, len(raw), 4 * size)):
                         own = raw[a : a + 4 * size]

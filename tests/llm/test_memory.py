@@ -1,9 +1,11 @@
 """What operators hold in Python: while a model is built, between tasks of different operators, and in one batch of texts."""
 
 import gc
+import random
 import tracemalloc
 import weakref
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -86,3 +88,38 @@ def test_operators_send_whole_texts_in_small_batches(spark, monkeypatch):
     packing.pack(docs).count()
     small = {name for name, own in seen if own}
     assert {"profiles", "links", "remainder", "pieces"} <= small
+
+
+def _packed_ids(texts):
+    """Ids and the closing one of each text, by the operator's own function over one batch."""
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+    out = pa.Table.from_batches(packing._cut(packing.default_tokenizer(), 1 << 30, 0, True)(iter([batch])))
+    assert out["doc_id"].to_pylist() == list(range(len(texts))) and set(out["piece"].to_pylist()) <= {0}
+    return out["ids"].to_pylist()
+
+
+def _tokenizers_ids(texts):
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(packing.default_tokenizer()).encode_batch([t or "" for t in texts], add_special_tokens=False)
+    return [np.array([*e.ids, 0], "<u4").tobytes() for e in found]
+
+
+def test_packing_keeps_words_not_their_spellings():
+    common.kept_for("nobody")
+    texts = ["harbour Harbour HARBOUR harbour, Harbour. harbour?! HARBOUR;", "Ärger, ärger ÄRGER."]
+    assert _packed_ids(texts) == _tokenizers_ids(texts)
+    encoder = next(x for x in common.worker_cache().values() if isinstance(x, packing.Encoder))
+    assert set(encoder.known) == {"", "harbour", "ärger", ",", ".", "?!", ";"}
+
+
+def test_packing_gives_the_tokenizers_ids(monkeypatch):
+    common.kept_for("nobody")
+    monkeypatch.setattr(packing, "_CACHED_BYTES", 40 * packing._ENTRY_BYTES)  # halves change again and again
+    rng = random.Random(5)
+    pieces = [*packing.MARKS, *"\t\n\x0b\x0c\r\x1c\x85\xa0 　", " ", " ", " ", "  ", "'", "'s", "'LL", "́", "̈", "̸", "<|endoftext|>", "<|startoftext|>", "</w>", "word", "Word", "It", "ÀÿßµªºÐ", "é", "İ", "ΣΑΣ", "ſ", "K", "Å", "中文", "한", "x" * 70, "Wide" * 40, "7", "½", "²", "Ⅷ", "×", "÷", "🙂", "\0"]
+    texts = [None, "", " ", "\n\n", *("".join(rng.choices(pieces, k=rng.randrange(40))) for _ in range(2600)), None]
+    texts += ["".join(rng.choices("abcdeéÉZ", k=rng.randrange(1, 9))) + rng.choice([" ", ", ", ". "]) for _ in range(300)]
+    assert _packed_ids(texts) == _tokenizers_ids(texts)
+    for few in ([None], [" ", None, ""]):
+        assert _packed_ids(few) == _tokenizers_ids(few)

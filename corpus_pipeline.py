@@ -6,11 +6,14 @@ where each piece of a document lies. Between stages the documents are written as
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import exact_dedup, langid, minhash, mixing, packing
-from marlstone.llm.common import discard, stage, table
+from marlstone.llm.common import discard, return_heaps, stage, table
 
 #: Below this posterior no language is believed.
 LEAST_SCORE = 0.5
@@ -50,7 +53,18 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("language", language), ("exact_duplicates", exact_duplicates), ("near_duplicates", near_duplicates), ("mix_sources", mix_sources), ("pack", pack)]
+def _with_room(step: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """``step`` on executors that don't hold what earlier steps left: their peaks don't add up over the run."""
+
+    @wraps(step)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return_heaps(spark)
+        return step(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES = [(step.__name__, _with_room(step)) for step in (language, exact_duplicates, near_duplicates, mix_sources, pack)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,6 +105,15 @@ def give_back() -> None:
         pass
 
 
+def return_heaps(spark: SparkSession) -> None:
+    """Have each executor's JVM collect its garbage and return unused heap, dead buffers and classes to the system: otherwise what one operator once needed counts against the next.
+
+    One short task an executor, in the driver's JVM if it runs the tasks. Results don't depend on it: an executor that gets none keeps its heap.
+    """
+    n = max(1, len(spark.sparkContext._jsc.sc().statusTracker().getExecutorInfos()) - 1)  # the driver is among them
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).collect()
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """``names``, with underscores added until no column of ``df`` has them in either case."""
     taken, out = {c.lower() for c in df.columns}, []

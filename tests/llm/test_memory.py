@@ -1,10 +1,11 @@
-"""What operators hold in Python: while a model is built, between tasks of different operators, and in one batch of texts."""
+"""What operators hold in Python: while a model is built, between tasks of different operators, and in one batch of texts; and in heaps between steps."""
 
 import gc
 import random
 import tracemalloc
 import weakref
 
+import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -123,3 +124,25 @@ def test_packing_gives_the_tokenizers_ids(monkeypatch):
     assert _packed_ids(texts) == _tokenizers_ids(texts)
     for few in ([None], [" ", None, ""]):
         assert _packed_ids(few) == _tokenizers_ids(few)
+
+
+def test_unused_heap_is_returned(spark):
+    heap = spark._jvm.java.lang.management.ManagementFactory.getMemoryMXBean()
+    common.return_heaps(spark)
+    held = spark._jvm.java.util.ArrayList(80 << 20)  # 320 MB of empty places, at 4 bytes each
+    full = heap.getHeapMemoryUsage()
+    held.trimToSize()
+    common.return_heaps(spark)
+    left = heap.getHeapMemoryUsage()
+    assert full.getUsed() - left.getUsed() > 250 << 20
+    assert left.getCommitted() < full.getCommitted()
+
+
+def test_each_step_of_the_pipeline_starts_on_collected_heaps(spark):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    whole = [b for b in beans if not any(young in b.getName() for young in ("Young", "Copy", "Scavenge"))]
+    docs = spark.createDataFrame([(i, f"some words of text {i} and the same end for all of them", "aa", "web", 50) for i in range(9)], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, step in corpus_pipeline.STAGES:
+        before = sum(b.getCollectionCount() for b in whole)
+        step(spark, docs, "")
+        assert sum(b.getCollectionCount() for b in whole) > before, name

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 def sections(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, ordinal (dense, from 0), text: the lines that are not blank, trimmed of spaces."""
-    lines = docs.select(key, F.posexplode(F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")).alias("ordinal", "text"))
+    # not F.trim itself: as it takes a second argument, it would get the line's number as the characters to trim
+    trimmed = F.transform(F.split("text", "\n"), lambda x: F.trim(x))
+    lines = docs.select(key, F.posexplode(F.filter(trimmed, lambda x: x != "")).alias("ordinal", "text"))
     return lines.select(key, "ordinal", "text")
 
 

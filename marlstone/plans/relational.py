@@ -175,18 +175,26 @@ def in_subquery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sketches: distinct count and percentile; engines differ in them, so rows are compared only in number."""
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey").alias("parts"), F.percentile_approx("l_extendedprice", 0.5).alias("median_price"))
+    """Sketches: distinct count and percentile; engines differ in them, so rows are compared only in number.
+
+    The counting sketch has a standard error of 1.6 % and is as good as exact on few keys. That of approx_count_distinct has 4.6 %, so a group in thirty would miss by more than a tenth.
+    """
+    parts = F.hll_sketch_estimate(F.hll_sketch_agg("l_partkey"))
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").agg(parts.alias("parts"), F.percentile_approx("l_extendedprice", 0.5).alias("median_price"))
 
 
 def approximate_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the sketches of :func:`approximate` are near the exact figures: distinct counts to a tenth, the rank of the percentile to a hundredth."""
+    """Whether the sketches of :func:`approximate` are near the exact figures: distinct counts to a tenth, the rank of the percentile to a hundredth.
+
+    Equal prices share all of their ranks, null ones have none, and a null flag is a group like others.
+    """
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_returnflag", "l_partkey", "l_extendedprice")
-    exact = line.groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("exact"), F.count("*").alias("n"))
-    sketch = approximate(spark, sf_dir)
-    below = line.join(sketch, "l_returnflag").groupBy("l_returnflag").agg(F.sum((F.col("l_extendedprice") <= F.col("median_price")).cast("int")).alias("below"))
-    both = exact.join(sketch, "l_returnflag").join(below, "l_returnflag")
-    return both.select("l_returnflag", (F.abs(F.col("parts") - F.col("exact")) <= 0.1 * F.col("exact")).alias("parts_near"), (F.abs(F.col("below") / F.col("n") - 0.5) <= 0.01).alias("median_near"))
+    sketch = approximate(spark, sf_dir).withColumnRenamed("l_returnflag", "flag")
+    price, median = F.col("l_extendedprice"), F.col("median_price")
+    figures = (F.count_distinct("l_partkey").alias("exact"), F.count(price).alias("n"), F.count_if(price < median).alias("below"), F.count_if(price <= median).alias("up_to"))
+    both = line.join(sketch, F.col("l_returnflag").eqNullSafe(F.col("flag"))).groupBy("l_returnflag", "parts").agg(*figures)
+    median_near = (F.col("below") <= 0.51 * F.col("n")) & (F.col("up_to") >= 0.49 * F.col("n"))
+    return both.select("l_returnflag", (F.abs(F.col("parts") - F.col("exact")) <= 0.1 * F.col("exact")).alias("parts_near"), median_near.alias("median_near"))
 
 
 APPROXIMATE_SQL = "SELECT l_returnflag, true AS parts_near, true AS median_near FROM lineitem GROUP BY l_returnflag"

@@ -1,5 +1,7 @@
 """Registered queries read all of their tables: results against brute force where the SQL reads less."""
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from marlstone.plans import relational
 
 from tests import oracle
@@ -35,3 +37,25 @@ def test_not_in_and_nulls(spark):
         rows.createOrReplaceTempView("not_in_rows"), given.createOrReplaceTempView("not_in_values")
         got = sorted((r["k"] for r in relational.not_in(rows, "k", given).collect()), key=str)
         assert got == sorted(want, key=str) == sorted((r["k"] for r in spark.sql("SELECT k FROM not_in_rows WHERE k NOT IN (SELECT v FROM not_in_values)").collect()), key=str)
+
+
+def approximate_errors(spark, folder, rows):
+    """Rows of rel_approximate_error over (flag, part, price) rows, after a comparison with its SQL."""
+    flags, parts, prices = zip(*rows, strict=True)
+    pq.write_table(pa.table({"l_returnflag": pa.array(flags, pa.string()), "l_partkey": pa.array(parts, pa.int64()), "l_extendedprice": pa.array(prices, pa.float64())}), f"{folder}/lineitem.parquet")
+    df = relational.queries()["rel_approximate_error"](spark, str(folder))
+    assert oracle.difference(df, str(folder), relational.oracle_sql()["rel_approximate_error"]) is None
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def test_approximate_counts_within_a_tenth(spark, tmp_path):
+    """150 groups of 1000 keys each: approx_count_distinct misses six of them by more than a tenth."""
+    got = approximate_errors(spark, tmp_path, [(f"{g:03}", 1000 * g + i, float(i)) for g in range(150) for i in range(1000)])
+    assert got == [(f"{g:03}", True, True) for g in range(150)]
+
+
+def test_approximate_error_of_odd_groups(spark, tmp_path):
+    """A null flag, equal prices, null prices and keys, single rows."""
+    rows = [(None, i, float(i)) for i in range(300)] + [("equal", i, 5.0) for i in range(300)] + [("gaps", i, float(i) if i % 3 else None) for i in range(300)]
+    rows += [("none", None, None), ("none", None, None), ("one", 7, 1.5), ("two", 7, 1.5), ("two", 8, 2.5)]
+    assert {r[0] for r in approximate_errors(spark, tmp_path, rows)} == {None, "equal", "gaps", "none", "one", "two"}
